@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import quality, sharding, simhash
 from ._common import pick
 
 
@@ -21,8 +21,68 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return simhash.near_duplicates(docs, words=3, distance=2)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", source="source")
+    out, _ = quality.verdicts(docs)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op5_sharding": op5_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d
+), one_word AS (
+  SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), win AS (
+  SELECT rid, i, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p AS k FROM one_word
+  WINDOW p AS (PARTITION BY rid ORDER BY i)
+), again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM win WHERE k IS NOT NULL) WHERE n > 1
+), rep AS (
+  SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + unnest([0, 1, 2]) AS j FROM again) GROUP BY rid
+), line AS (
+  SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d
+), worded AS (
+  SELECT rid, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM line
+), normal AS (
+  SELECT rid, host, text, line, len(lw) AS n,
+         translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM worded WHERE len(lw) > 0
+), dup AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n FROM normal GROUP BY rid
+), hosts AS (
+  SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host
+), template AS (
+  SELECT l.host, l.k FROM (SELECT host, k, count(DISTINCT text) AS n FROM normal GROUP BY host, k) l
+  JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host
+  WHERE l.n > {min_docs} AND l.n > {host_share}::DOUBLE * h.texts
+), removed AS (
+  SELECT rid, sum(n)::BIGINT AS n FROM normal l JOIN template t ON l.k = t.k AND l.host IS NOT DISTINCT FROM t.host GROUP BY rid
+), m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS removed_words
+  FROM w LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN removed USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_words - removed_words < {keep_share}::DOUBLE * n_words) AS kept,
+       removed_words
+FROM m
+""".format(min_docs=quality.MIN_DOCS, host_share=quality.HOST_SHARE, keep_share=quality.KEEP_SHARE)
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": _OP7_SQL,
+}
