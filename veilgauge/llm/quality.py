@@ -78,7 +78,6 @@ _FEATURES = "doc_id long, host string, text_hash long, n_words long, word_chars
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
     for b in batches:
         cols: list[list] = [[] for _ in range(5)]
         offsets, keys, counts = [0], [], []
@@ -92,7 +91,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int32())], ["line", "words"])
         arrays = [b.column(i) for i in range(3)] + [pa.array(c, pa.int64()) for c in cols] + [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)]
         names = ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
-        assert arrays[-1].type.equals(line_type) or True
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -152,14 +150,15 @@ def clean(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host
     def _strip(texts: pa.Array, drop: pa.Array) -> pa.Array:
         out = []
         for t, d in zip(texts.cast(pa.binary()).to_pylist(), drop.to_pylist(), strict=True):
-            out.append(t if t is None or not d else without_lines(t, set(d)).decode("utf-8", "replace"))
-        return pa.array([x if x is None or isinstance(x, str) else x.decode("utf-8", "replace") for x in out], pa.string())
+            out.append(t if t is None or not d else without_lines(t, set(d)))
+        return pa.array(out, pa.binary()).cast(pa.string())
 
     # The templates of a host are at most 1 / host_share times its mean number of lines, so they fit in one row of it.
     by_host = materialize(lines.groupBy(F.col("host").alias("__vg_host")).agg(F.collect_set("line").alias("__vg_lines")), "host-lines")
     by_host = F.broadcast(by_host) if small_enough(lines, BROADCAST_ROWS) else by_host
     rows = rows.join(by_host, F.col("__vg_h").eqNullSafe(F.col("__vg_host")), "left")
-    text = F.when(F.col("__vg_lines").isNull(), F.col(f"`{text_col}`")).otherwise(_strip(F.col(f"`{text_col}`"), F.col("__vg_lines")))
+    text, some = F.col(f"`{text_col}`"), F.col("__vg_lines").isNotNull()
+    text = F.when(some, _strip(F.when(some, text), F.col("__vg_lines"))).otherwise(text)
     rows = rows.withColumn(text_col, text)
     if n_chars_col in names:
         rows = rows.withColumn(n_chars_col, F.length(F.col(f"`{text_col}`")).cast(df.schema[n_chars_col].dataType))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, simhash
+from . import line_dedup, packing, quality, sharding, simhash
 from ._common import pick
 
 
@@ -32,9 +32,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    out = line_dedup.line_dedup(docs, report=True)
+    return out.select("doc_id", "removed_runs", "removed_chars", F.length("text").cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return packing.pack(docs, window=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_packing": op6_packing,
     "op5_sharding": op5_sharding,
 }
 
