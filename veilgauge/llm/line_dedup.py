@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, small_batches
 
-#: A unit ends with its terminators, line feeds among them; a run of terminators alone is a unit too.
-_UNIT = re.compile(rb"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+#: A unit ends with its terminators, line feeds among them, or before a capitalised word, so that a
+#: passage set into the middle of a sentence starts a unit too.
+_UNIT = re.compile(rb"(?:[^.!?\n \t]+|[ \t]+(?!(?:[A-Z]|\xc3[\x80-\x9e])))+[.!?\n]*|[.!?\n \t]+")
 GRAM_WORDS, WINDOW, MIN_WORDS = 10, 2, 25
 _NONE = 0
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality, sharding, simhash
+from . import line_dedup, packing, quality, sharding, simhash, warc
 from ._common import pick
 
 
@@ -43,11 +43,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, window=2048)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pick(_table(spark, sf_dir, "pages"), page_id="page_id", url="url", html="html")
+    read = warc.read_records(warc.archive_pages(pages), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
+    "op9_warc": op9_warc,
     "op5_sharding": op5_sharding,
 }
 
@@ -96,6 +103,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """.format(min_docs=quality.MIN_DOCS, host_share=quality.HOST_SHARE, keep_share=quality.KEEP_SHARE)
 
+_OP9_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html FROM pages
+), m AS (
+  SELECT *, strlen(html) AS bytes, sha256(html) AS digest FROM p
+), t AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS top FROM m
+), r AS (
+  SELECT *, bytes >= 100 AND top IS NOT NULL AND page_id IS DISTINCT FROM top AS again FROM t
+)
+SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to, url
+FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": _OP9_SQL,
     "op7_quality_rules": _OP7_SQL,
 }
