@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality, sharding, simhash, warc
+from . import line_dedup, mixing, packing, quality, sharding, simhash, warc
 from ._common import pick
 
 
@@ -49,12 +49,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", source="source")
+    return mixing.mixture(docs, max_repeats=mixing.MAX_REPEATS, block_tokens=mixing.BLOCK_TOKENS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
     "op9_warc": op9_warc,
+    "op1_mixing": op1_mixing,
     "op5_sharding": op5_sharding,
 }
 
@@ -118,7 +124,40 @@ SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM r
 """
 
+# The exponent that bisection finds has a closed form for a limit on repeats.
+_OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents
+), s AS (
+  SELECT source, sum(tokens)::BIGINT AS n FROM d GROUP BY source
+), e AS (
+  SELECT max(n) AS top, min(n) AS low, sum(n) AS total,
+         CASE WHEN max(n)::DOUBLE / min(n) <= {limit} THEN 0.0::DOUBLE ELSE 1 - ln({limit}::DOUBLE) / ln(max(n)::DOUBLE / min(n)) END AS a
+  FROM s WHERE n > 0
+), w AS (
+  SELECT source, n, pow(n::DOUBLE / total, a) / sum(pow(n::DOUBLE / total, a)) OVER () AS w FROM s, e WHERE n > 0
+), b AS (
+  SELECT source, n, w, greatest(n, floor(w * (max(n / w) OVER ()) + 0.5)::BIGINT) AS budget, greatest(1, floor(w * {block} + 0.5)::BIGINT) AS quota FROM w
+), t AS (
+  SELECT source, n, budget // n AS passes, budget % n AS rest, quota FROM b
+  UNION ALL SELECT source, 0, 1, 0, 1 FROM s WHERE n = 0
+), each AS (
+  SELECT d.*, t.n, t.passes, t.rest, t.quota, unnest(generate_series(0::BIGINT, t.passes - CASE WHEN t.rest > 0 THEN 0 ELSE 1 END)) AS pass
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || pass) AS key FROM each
+), a AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, pass ORDER BY key, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM k
+), u AS (
+  SELECT *, (pass * n + ahead) // quota AS block FROM a WHERE pass < passes OR ahead < rest
+)
+SELECT doc_id, source, pass, tokens, block::BIGINT AS block,
+       (row_number() OVER (PARTITION BY block ORDER BY md5(key || ':' || block), tokens) - 1)::BIGINT AS slot
+FROM u
+""".format(limit=mixing.MAX_REPEATS, block=mixing.BLOCK_TOKENS)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": _OP1_SQL,
     "op9_warc": _OP9_SQL,
     "op7_quality_rules": _OP7_SQL,
 }
