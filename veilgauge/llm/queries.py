@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, sharding, simhash, warc
+from . import ann, langid, line_dedup, mixing, packing, quality, sharding, simhash, warc
 from ._common import pick
 
 
@@ -54,6 +54,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs, max_repeats=mixing.MAX_REPEATS, block_tokens=mixing.BLOCK_TOKENS)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(pick(_table(spark, sf_dir, "embeddings"), vec_id="vec_id", embedding="embedding"), every=50, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op9_warc": op9_warc,
     "op1_mixing": op1_mixing,
+    "op8_language_id": op8_language_id,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
     "op5_sharding": op5_sharding,
 }
 
