@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +38,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that Python workers need no path of their own."""
+    import veilgauge
+
+    sc = spark.sparkContext
+    if getattr(sc, "_veilgauge_shipped", False):
+        return
+    top = Path(veilgauge.__file__).parent
+    d = tempfile.mkdtemp(prefix="veilgauge-")  # the driver's own: executors fetch the file from the driver
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    with zipfile.ZipFile(f"{d}/veilgauge.zip", "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(f"{d}/veilgauge.zip")
+    sc._veilgauge_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers; holds for the plans made from now on."""
+    """Readies the session for Python workers: their package, and batches of bounded memory for the plans made from now on."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

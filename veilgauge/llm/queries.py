@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, line_dedup, mixing, packing, quality, sharding, simhash, warc
+from . import ann, langid, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, warc
 from ._common import pick
 
 
@@ -64,6 +64,13 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(pick(_table(spark, sf_dir, "embeddings"), vec_id="vec_id", embedding="embedding"), every=50, k=5)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").withColumn("held_out", langid.held_out(F.col("doc_id"), 3, 1))
+    labels = pick(_table(spark, sf_dir, "labels"), doc_id="doc_id", toxic="toxic")
+    model = toxicity.train(toxicity.labelled_rows(docs.where(~F.col("held_out")), labels), docs)
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op8_language_id": op8_language_id,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op2_toxicity": op2_toxicity,
     "op5_sharding": op5_sharding,
 }
 
