@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,65 +28,95 @@ from ._common import materialize, small_batches
 #: passage set into the middle of a sentence starts a unit too.
 _UNIT = re.compile(rb"(?:[^.!?\n \t]+|[ \t]+(?!(?:[A-Z]|\xc3[\x80-\x9e])))+[.!?\n]*|[.!?\n \t]+")
 GRAM_WORDS, WINDOW, MIN_WORDS = 10, 2, 25
-_NONE = 0
 
 
-def _digest(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), 11) - (1 << 63)
+def _digest(normal: bytes) -> int:
+    return xxhash.xxh64_intdigest(normal, 11)
 
 
-def units(text: bytes) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
-    """Bounds of the units, and their words, A-Z lower-cased."""
-    bounds, words = [], []
-    for m in _UNIT.finditer(text):
-        w = m.group().lower().split()
-        if not w and bounds:  # white space and terminators alone belong to the unit before
-            bounds[-1] = (bounds[-1][0], m.end())
-            continue
-        bounds.append(m.span())
-        words.append(w)
-    return bounds, words
+def _mark(normal: bytes) -> int:
+    """32 bits of a neighbouring unit's hash; 0 stands for no unit."""
+    return _digest(normal) >> 32 or 1
 
 
-def gram_ends(words: list[list[bytes]], gram_words: int) -> list[int]:
+def units(text: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
+    """The pieces that the text is cut into, and of those with words the normal forms (A-Z lower-cased, words joined
+    by one space) and the numbers of words. Pieces without words belong to the unit before them.
+    """
+    pieces = _UNIT.findall(text)
+    words = [w for w in [p.split() for p in pieces] if w]
+    return pieces, [b" ".join(w).lower() for w in words], list(map(len, words))
+
+
+def gram_ends(counts: list[int], gram_words: int) -> list[int]:
     """For each unit, one past the last unit of the gram from there; the list stops where grams run out."""
-    ends, j, held = [], 0, 0
-    for i in range(len(words)):
-        while held < gram_words and j < len(words):
-            held += len(words[j])
+    ends, j, held, n = [], 0, 0, len(counts)
+    for own in counts:
+        while held < gram_words and j < n:
+            held += counts[j]
             j += 1
         if held < gram_words:
             break
         ends.append(j)
-        held -= len(words[i])
+        held -= own
     return ends
 
 
-def fingerprints(text: bytes, gram_words: int = GRAM_WORDS, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(position, hash of the gram, hash of the unit before, hash of the unit after), window minima only; 0 for no unit."""
-    _, words = units(text)
-    ends = gram_ends(words, gram_words)
-    hashes = [_digest([w for u in words[i:j] for w in u]) for i, j in enumerate(ends)]
+def minima(hashes: list[int], window: int) -> list[int]:
+    """Positions of the least hash, the last of equals, in each window (in all of them, if there are fewer)."""
     chosen: list[int] = []
+    last = -1
     for a in range(max(1, len(hashes) - window + 1) if hashes else 0):
-        best = min(range(a, min(a + window, len(hashes))), key=lambda i: (hashes[i], -i))
-        if not chosen or chosen[-1] != best:
+        some = hashes[a : a + window]
+        best = a + len(some) - 1 - some[::-1].index(min(some))
+        if best != last:
             chosen.append(best)
-    return [(i, hashes[i], _digest(words[i - 1]) if i else _NONE, _digest(words[ends[i]]) if ends[i] < len(words) else _NONE) for i in chosen]
+            last = best
+    return chosen
+
+
+def fingerprints(text: bytes, gram_words: int = GRAM_WORDS, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(place, hash of the gram, marks of the units before and after it), window minima only.
+
+    place: the position, and in the lower 16 bits the gram's words.
+    """
+    _, normal, counts = units(text)
+    ends = gram_ends(counts, gram_words)
+    joined = b" ".join(normal)
+    stops = list(accumulate(map(len, normal), lambda a, b: a + 1 + b))  # of the units in joined
+    starts = [0, *[x + 1 for x in stops]]
+    hashes = [_digest(joined[a : stops[j - 1]]) for a, j in zip(starts, ends, strict=False)]
+    before = list(accumulate(counts, initial=0))
+    n = len(normal)
+    out = []
+    for i in minima(hashes, window):
+        j = ends[i]
+        sides = (_mark(normal[i - 1]) if i else 0) << 32 | (_mark(normal[j]) if j < n else 0)
+        out.append((i << 16 | min(before[j] - before[i], 0xFFFF), hashes[i] - (1 << 63), sides - (1 << 63)))
+    return out
 
 
 def later_runs(text: bytes, found: list[tuple[int, bool, bool]], gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Byte bounds of the repeated runs. found: (position, unit before is repeated too, unit after too) of the later fingerprints."""
-    bounds, words = units(text)
-    ends = gram_ends(words, gram_words)
+    pieces, normal, counts = units(text)
+    bounds, at = [], 0
+    for p in pieces:
+        if bounds and not p.strip():
+            bounds[-1][1] += len(p)
+        else:
+            bounds.append([at, at + len(p)])
+        at += len(p)
+    if bounds and not pieces[0].strip():  # white space ahead of the first unit is not a unit
+        del bounds[0]
+    ends = gram_ends(counts, gram_words)
     runs: list[list[int]] = []
     for i, left, right in sorted(found):
-        a, b = max(0, i - left), min(len(words), ends[i] + right)
+        a, b = max(0, i - left), min(len(normal), ends[i] + right)
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
-    return [(bounds[a][0], bounds[b - 1][1]) for a, b in runs if sum(map(len, words[a:b])) >= min_words]
+    return [(bounds[a][0], bounds[b - 1][1]) for a, b in runs if sum(counts[a:b]) >= min_words]
 
 
 def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
@@ -95,39 +127,43 @@ def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-_SCHEMA = "id long, th long, pos int, gram long, before long, after long"
+_SCHEMA = "id long, th long, place long, gram long, sides long"
 
 
 def _fingerprint_rows(gram_words: int, window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, cols = [], [[], [], [], []]
-            for r, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-                for f in fingerprints(t or b"", gram_words, window):
-                    take.append(r)
-                    for c, v in zip(cols, f, strict=True):
-                        c.append(v)
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])],
-                ["id", "th", "pos", "gram", "before", "after"],
-            )
+            sizes, found = [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                own = fingerprints(t or b"", gram_words, window)
+                sizes.append(len(own))
+                found += own
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            cols = np.array(found, dtype=np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, cols)], ["id", "th", "place", "gram", "sides"])
 
     return rows
 
 
-def repeated_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, window: int = WINDOW) -> DataFrame:
-    """(id, th, found): for each text with fingerprints that occurred before, their positions and extensions."""
+def repeated_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, found): for each text that may have a run of min_words, the positions and extensions of its later fingerprints."""
     small_batches(df.sparkSession)
     keyed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
     marks = materialize(keyed.mapInArrow(_fingerprint_rows(gram_words, window), _SCHEMA), "winnow")
     # Nulls come last in the order; repeated rows are one text, so a gram of them alone is no repeat.
-    place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "pos", "before", "after")
-    firsts = marks.groupBy("gram").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
-    hit = marks.join(firsts, "gram").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("pos") == F.col("f.pos"))))
-    left = (F.col("before") == F.col("f.before")) & (F.col("before") != _NONE)
-    right = (F.col("after") == F.col("f.after")) & (F.col("after") != _NONE)
-    return hit.groupBy("id", "th").agg(F.collect_set(F.struct("pos", left.alias("left"), right.alias("right"))).alias("found"))
+    first = F.struct(F.col("id").isNull().alias("n"), "id", "th", "place", "sides")
+    firsts = marks.groupBy("gram").agg(F.min(first).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
+    hit = marks.join(firsts, "gram").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("place") == F.col("f.place"))))
+
+    def side(bits: int):
+        own, other = (F.col(c).bitwiseXOR(F.lit(-(2**63))) for c in ("sides", "f.sides"))
+        mask = F.lit(0xFFFFFFFF << bits if bits == 0 else -(1 << 32))
+        return (own.bitwiseAND(mask) == other.bitwiseAND(mask)) & (own.bitwiseAND(mask) != 0)
+
+    hit = hit.select("id", "th", F.shiftright("place", 16).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("words"), side(32).alias("left"), side(0).alias("right"))
+    # A text whose later grams and extensions cannot make a run is dropped here already.
+    enough = (F.sum("words") >= min_words) | F.bool_or(F.col("left") | F.col("right"))
+    return hit.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "left", "right")).alias("found"), enough.alias("enough")).where("enough").drop("enough")
 
 
 def line_dedup(
@@ -148,8 +184,8 @@ def line_dedup(
     not repeat the other. Nulls among ids come last in the order. With report, the columns
     removed_runs (int) and removed_chars (long) are added, or replaced.
     """
-    found = repeated_fingerprints(df, id_col=id_col, text_col=text_col, gram_words=gram_words, window=window)
-    found = found.select(F.col("id").alias("__vg_id"), F.col("th").alias("__vg_th"), "found")
+    found = repeated_fingerprints(df, id_col=id_col, text_col=text_col, gram_words=gram_words, window=window, min_words=min_words)
+    found = found.select(F.col("id").alias("__vg_id"), F.col("th").alias("__vg_th"), F.col("found").alias("__vg_found"))
     rows = df.withColumns({"__vg_i": F.col(f"`{id_col}`").cast("long"), "__vg_t": F.xxhash64(F.col(f"`{text_col}`"))})
     rows = rows.join(found, F.col("__vg_i").eqNullSafe(F.col("__vg_id")) & (F.col("__vg_t") == F.col("__vg_th")), "left")
 
@@ -164,8 +200,8 @@ def line_dedup(
 
     text = F.col(f"`{text_col}`")
     # Only texts with repeats go through Python.
-    again = F.col("found").isNotNull()
-    rows = rows.withColumn("__vg_c", _cut(F.when(again, text), F.col("found")))
+    again = F.col("__vg_found").isNotNull()
+    rows = rows.withColumn("__vg_c", _cut(F.when(again, text), F.col("__vg_found")))
     rows = rows.withColumns({"__vg_gone": F.when(again, F.length(text) - F.length("__vg_c.text")).otherwise(0), "__vg_runs": F.when(again, F.col("__vg_c.runs")).otherwise(0)})
     out = rows.withColumn(text_col, F.when(again, F.col("__vg_c.text")).otherwise(text))
     names = list(df.columns)
