@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similar
 from ._common import materialize, small_batches
 from .components import connected_components
 
@@ -115,10 +116,10 @@ def link_fingerprints(fps: DataFrame, distance: int = 2, bucket_pairs: int = 64)
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, bucket_pairs: int = 64) -> DataFrame:
-    """df's rows with fingerprint (16 hex digits), component_id and links.
+    """df's rows with fingerprint (16 hex digits) and component_id.
 
     component_id: the smallest id reachable over links, the row's own included; null only where all
-    ids of a component are null. links: between fingerprints (see link_fingerprints). Null and empty
+    ids of a component are null. Null and empty
     texts have the fingerprint zero and are linked like any other; equal texts are one class whatever
     their number. An empty table gives no rows. Only the id is kept of df's other columns.
     """
@@ -133,23 +134,34 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return docs.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """df without near duplicates: of each component the row with the smallest id stays, with all its columns.
-
-    Of rows that share that id (repeats, or several nulls), one stays. Rows are ordered by id (nulls
-    last), then by a hash of the text.
-    """
-    names = df.columns
+def _representatives(df: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> DataFrame:
+    """(id, th) of the rows that stay."""
     order = [F.col("id").asc_nulls_last(), F.col("th")]
-    keyed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col(f"`{text_col}`")
+    keyed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     docs = materialize(fingerprints(keyed, words=words).select("id", "th", "fp"), "fingerprints")
     # a class's first row: the limit on ranks runs before the exchange too, so a class of many copies sends one row a task
     first = docs.withColumn("n", F.row_number().over(Window.partitionBy("fp").orderBy(*order))).where("n = 1").drop("n")
     classes = materialize(first, "classes")
     nodes = connected_components(link_fingerprints(classes.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = rooted.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where("n = 1").select("id", "th")
+    return rooted.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where("n = 1").select("id", "th")
+
+
+def keep_representatives(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int | None = None) -> DataFrame:
+    """df without near duplicates: of each component the row with the smallest id stays, with all its columns.
+
+    distance: links are fingerprints of 64 bits within it; by default links are texts of a similarity
+    of 0.8, by long fingerprints (see similar.py). Of rows equal in id and text one stays. Rows are
+    ordered by id (nulls last), then by a hash of the text.
+    """
+    names = df.columns
+    if distance is None:
+        kept = similar.representatives(df, id_col=id_col, text_col=text_col, words=words)
+    else:
+        kept = _representatives(df, id_col, text_col, words, distance)
     kept = kept.select(F.col("id").alias("__vg_id"), F.col("th").alias("__vg_th"))
+
     # One exchange of the texts serves both steps: they share their keys, which are never null.
     def keys(i, t):
         return {"__vg_a": F.coalesce(F.col(i), F.lit(0).cast("long")), "__vg_b": F.col(i).isNull(), "__vg_c": F.col(t)}
