@@ -15,17 +15,19 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, small_batches, small_enough
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-#: Words whose ids a worker remembers, and pre-tokens likewise; beyond, it starts afresh.
-CACHED = 300_000
+#: Words and pre-tokens whose ids a worker remembers; beyond, it starts afresh.
+CACHED_WORDS, CACHED_PARTS = 350_000, 300_000
 
 
 class Encoder:
@@ -39,18 +41,22 @@ class Encoder:
 
     def __init__(self, name: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if not os.path.exists(name):
             import public_tokenizers
 
             name = public_tokenizers.path(name)
-        self.tokenizer = Tokenizer.from_file(name)
-        size = self.tokenizer.get_vocab_size()
+        self.name = name
+        # the same model for pieces that are in normal form and cut already
+        self.inner = Tokenizer.from_file(name)
+        self.inner.normalizer = normalizers.Sequence([])
+        self.inner.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.inner.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.last = np.zeros(size, bool)  # ids that end a pre-token
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+        for token, i in self.inner.get_vocab(with_added_tokens=False).items():
             self.last[i] = token.endswith("</w>")
         # The tokenizer's pre-token pattern, and the characters that the quick way is for.
         self.pattern = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -58,59 +64,82 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is, for what the quick way is not for."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.name)
+
+    def lower(self, texts: pa.Array) -> pa.Array:
+        """A-Z lowered, as the tokenizer does itself, where no text may hold a special token, which is told by its case."""
+        return texts if pc.any(pc.match_substring(texts, "<|")).as_py() else pc.ascii_lower(texts)
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.parts.clear()
+
     def pack(self, ids) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) > CACHED:
-            self.words.clear()
-        if len(self.parts) > CACHED:
+        if len(self.parts) > CACHED_PARTS:
             self.parts.clear()
-        plain = []
-        for w in new:
-            text = w.decode("utf-8", "replace")
-            if self.odd.search(text):
-                self.words[w] = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                plain.append((w, text))
-        found = self.pattern.findall(unicodedata.normalize("NFC", "\n".join(t for _, t in plain)).lower())
+        text = b"\n".join(new).decode("utf-8", "replace")
+        if self.odd.search(text):
+            rest = []
+            for w, t in zip(new, text.split("\n"), strict=True):
+                if self.odd.search(t):
+                    self.words[w] = self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
+                else:
+                    rest.append(w)
+            if rest:
+                self._learn(rest)
+            return
+        found = self.pattern.findall(unicodedata.normalize("NFC", text).lower())
         parts = self.parts
-        if missing := [p for p in dict.fromkeys(found) if p != "\n" and p not in parts]:
-            for at in range(0, len(missing), 2000):
-                some = missing[at : at + 2000]
-                ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
-                ends = np.flatnonzero(self.last[ids]) + 1
-                if len(ends) != len(some):
-                    for p in some:
-                        parts[p] = self.pack(self.tokenizer.encode(p, add_special_tokens=False).ids)
-                    continue
-                raw, width, a = self.pack(ids), self.dtype.itemsize, 0
-                for p, b in zip(some, (ends * width).tolist(), strict=True):
-                    parts[p] = raw[a:b]
-                    a = b
-        k, own = 0, []
-        for p in found:
-            if p == "\n":
-                self.words[plain[k][0]] = b"".join(own)
-                k, own = k + 1, []
-            else:
-                own.append(parts[p])
-        if plain:
-            self.words[plain[k][0]] = b"".join(own)
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """For each text its ids and END_ID, as little-endian integers of self.dtype."""
-        end = self.pack([END_ID])
-        out = []
-        for t in texts:
-            words = (t or b"").split()
-            known = self.words
-            if new := [w for w in dict.fromkeys(words) if w not in known]:
-                self._learn(new)
-                if new := [w for w in dict.fromkeys(words) if w not in known]:  # the memory has started afresh
-                    self._learn(new)
-            out.append(b"".join([*map(known.__getitem__, words), end]))
-        return out
+        missing = set(found).difference(parts)
+        missing.discard("\n")
+        missing = list(missing)
+        for at in range(0, len(missing), 5000):
+            some = missing[at : at + 5000]
+            ids = np.asarray(self.inner.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                for p in some:
+                    parts[p] = self.pack(self.tokenizer.encode(p, add_special_tokens=False).ids)
+                continue
+            raw, stops = self.pack(ids), (ends * self.dtype.itemsize).tolist()
+            parts.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        parts["\n"] = b"\n"
+        cuts = [i for i, p in enumerate(found) if p == "\n"]
+        values = list(map(parts.__getitem__, found))
+        join = b"".join
+        self.words.update(zip(new, [values[a] if b - a == 1 else join(values[a:b]) for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(found)], strict=True)], strict=True))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text its ids and END_ID. Only a batch's distinct words are looked up."""
+        lists = pc.ascii_split_whitespace(self.lower(texts.fill_null("")))
+        bounds = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        self.words[b""] = b""  # white space at an end makes an empty word
+        if new := [w for w in distinct if w not in self.words]:
+            self._learn(new)
+        values = list(map(self.words.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(values), self.dtype)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        shift = (starts[at] - ends[:-1]).astype(np.int32)  # a batch has far fewer than 2**31 ids
+        flat = ids[np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)]
+        cuts = ends[bounds - bounds[0]].tolist()
+        end = np.array([END_ID], self.dtype)
+        return [np.concatenate((flat[a:b], end)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -239,9 +268,7 @@ def _cut_documents(name: str, window: int):
         numbers = np.zeros(window + 1, np.int64)  # of the pieces of each length in this partition
         for b in batches:
             take, cols = [], [[] for _ in range(6)]
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for r, raw in enumerate(enc.encode(texts)):
-                ids = np.frombuffer(raw, enc.dtype)
+            for r, ids in enumerate(enc.encode(b.column(1))):
                 wide = ids.astype("<u4")
                 for start in range(0, len(ids), window):
                     n = min(window, len(ids) - start)
@@ -253,6 +280,7 @@ def _cut_documents(name: str, window: int):
             at = pa.array(take, pa.int64())
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "local", "ids"])
+        enc.forget()  # a worker outlives its task; what it knows must not fill an executor that goes on to other work
 
     return cut
 
