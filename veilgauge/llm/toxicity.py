@@ -21,6 +21,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,8 @@ CACHED = 300_000
 _PIECES = re.compile(r"[^\W\d_]+")
 _FOLD = str.maketrans({k: v[0] for k, v in LEET.items()} | {"l": "i", "q": "g"} | dict.fromkeys(SEPARATORS))
 _RUNS = re.compile(r"(.)\1+")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+_EDGES = "\"()[]{}<>«»“”„?" + "".join(SEPARATORS)
 _DISGUISE = re.compile(r"(.)\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[" + re.escape("".join(LEET)) + "]")
 
 
@@ -177,7 +180,9 @@ class Model:
 
     def disguised(self, text: str) -> float:
         """The weight of a text's best reading, if some reading may spell an entry."""
-        bare = text.lower().strip("\"()[]{}<>«»“”„?" + "".join(SEPARATORS))
+        bare = text.lower().strip(_EDGES)
+        if bare.rstrip("!").isalpha() and not _DOUBLED.search(bare):  # one reading, itself
+            return 0.0
         for some in dict.fromkeys((bare, bare.rstrip("!"))):
             s = skeleton(some)
             if any(s[:n] in self.skeletons for n in self.lengths if n <= len(s)):
@@ -198,45 +203,80 @@ class Model:
             self.known[word] = found
         return found
 
-    def score(self, text: str | None) -> float:
-        """1 less the chance that none of its words, restored, makes the text toxic; the prior for a text without words."""
-        words = (text or "").split()
-        known = self.known
-        weights = {w: x for w in set(words) if (x := known[w] if w in known else self.word(w))}
-        run: list[str] = []
-        for w in [*words, "--"]:  # spaced letters: runs of single characters
+    def _spaced(self, words: list[str]) -> dict[str, float]:
+        """Weights of words spelt with spaces: from runs of three single characters or more."""
+        found, run = {}, []
+        for w in [*words, "--"]:
             if len(w) == 1:
                 run.append(w)
                 continue
-            if len(run) > 2:
-                spaced = " ".join(run)
-                s = skeleton(spaced.replace(" ", ""))
-                # the run may begin before the disguised word does
-                for at in range(len(run) - 2):
-                    rest = s if at == 0 else skeleton("".join(run[at:]))
-                    if any(rest[:n] in self.skeletons for n in self.lengths if n <= len(rest)):
-                        if x := self.plain(decode(" ".join(run[at:]), self.characters)):
-                            weights[spaced] = x
-                            break
+            for at in range(len(run) - 2):  # the run may begin before the disguised word does
+                rest = skeleton("".join(run[at:]))
+                if any(rest[:n] in self.skeletons for n in self.lengths if n <= len(rest)):
+                    if x := self.plain(decode(" ".join(run[at:]), self.characters)):
+                        found[" ".join(run[at:])] = x
+                        break
             run = []
-        clean = 1.0 - self.prior
-        for x in weights.values():
-            clean *= 1.0 - x
-        return min(1.0, max(0.0, 1.0 - clean))
-
-
-def _document_features(text: str) -> dict[str, int]:
-    """The text's features, each with a bit set for every word that stands before it."""
-    out: dict[str, int] = {}
-    pairs, last = set(), ""
-    for w in _PIECES.findall(text.lower()):
-        pairs.add((w, last))
-        last = w
-    for w, last in pairs:
-        bit = 1 << (xxhash.xxh32_intdigest(last) % CONTEXTS)
-        for f in features(w):
-            out[f] = out.get(f, 0) | bit
-    return out
+        return found
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """1 less the chance that none of a text's words, restored, makes it toxic; the prior for a text without words.
+
+        Only the distinct words of the batch are looked at one by one.
+        """
+        lists = pc.utf8_split_whitespace(texts.fill_null(""))
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > CACHED:
+            self.known.clear()
+        weight = np.fromiter((self.word(w) if w else 0.0 for w in distinct), float, len(distinct))
+        single = np.fromiter((len(w) == 1 for w in distinct), bool, len(distinct))
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        hit = np.flatnonzero(weight[at] > 0)
+        found: dict[int, dict[str, float]] = {}
+        for t, w in set(zip(text[hit].tolist(), at[hit].tolist(), strict=True)):
+            found.setdefault(t, {})[distinct[w]] = float(weight[w])
+        one = single[at]
+        if len(one) > 2:
+            for t in np.unique(text[:-2][one[:-2] & one[1:-1] & one[2:]]).tolist():
+                if more := self._spaced([distinct[i] for i in at[bounds[t] : bounds[t + 1]].tolist()]):
+                    found.setdefault(t, {}).update(more)
+        out = np.full(len(texts), self.prior)
+        for t, weights in found.items():
+            clean = 1.0 - self.prior
+            for w in sorted(weights):
+                clean *= 1.0 - weights[w]
+            out[t] = 1.0 - clean
+        return out
+
+
+def _word_counts(texts: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch: in how many toxic and other texts they stand, and a bit for every word before them in toxic texts."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    raw, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    bit = np.fromiter((xxhash.xxh32_intdigest(w) % CONTEXTS for w in raw), np.int64, len(raw))
+    before = np.concatenate(([0], bit[at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    # most raw words are one word; the others stand for each of theirs
+    number: dict[str, int] = {}
+    pieces = [[number.setdefault(p, len(number)) for p in _PIECES.findall(w)] for w in raw]
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    flat = np.fromiter((p for ps in pieces for p in ps), np.int64, int(size.sum()))
+    start = np.cumsum(size) - size
+    n = size[at]
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    word, text, before = flat[np.repeat(start[at], n) + inner], np.repeat(text, n), np.repeat(before, n)
+    pair = np.unique(word * max(1, len(texts)) + text)
+    own, of = pair // max(1, len(texts)), pair % max(1, len(texts))
+    a = np.bincount(own[toxic[of]], minlength=len(number))
+    b = np.bincount(own[~toxic[of]], minlength=len(number))
+    bits = np.zeros(len(number), np.int64)
+    in_toxic = toxic[text]
+    np.bitwise_or.at(bits, word[in_toxic], np.int64(1) << before[in_toxic])
+    return list(number), a, b, bits
 
 
 def character_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -246,10 +286,9 @@ def character_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(_CLASSES**3, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    code, n = np.unique(_trigrams(text), return_counts=True)
-                    held[code] += n
+            texts = [t for t in b.column(0).to_pylist() if t]
+            if texts:
+                held += np.bincount(_trigrams(" ".join(texts)), minlength=len(held))
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["code", "n"])
 
@@ -269,30 +308,18 @@ def train(labelled: DataFrame, texts: DataFrame, *, text_col: str = "text", labe
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), (F.col(f"`{label_col}`").cast("int") == 1).alias("toxic")).where("text IS NOT NULL AND toxic IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
-
-        def drain():
-            keys = list(held)
-            cols = [pa.array([held[k][i] for k in keys], pa.int64()) for i in (0, 1, 2)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *cols], ["feature", "toxic", "clean", "contexts"])
-
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f, bits in {"": 0, **_document_features(text)}.items():  # the empty feature counts texts
-                    own = held.get(f)
-                    if own is None:
-                        own = held[f] = [0, 0, 0]
-                    if toxic:
-                        own[0] += 1
-                        own[2] |= bits
-                    else:
-                        own[1] += 1
-            if len(held) > 400_000:
-                yield drain()
-        yield drain()
-
-    counts = rows.mapInArrow(count, "feature string, toxic long, clean long, contexts long").groupBy("feature").agg(F.sum("toxic").alias("all"), F.sum("clean").alias("b"), F.bit_count(F.bit_or("contexts")).alias("seen"))
+            toxic = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            words, *cols = _word_counts(b.column(0), toxic)
+            # the empty word counts texts
+            cols = [np.append(c, x).astype(np.int64) for c, x in zip(cols, (toxic.sum(), (~toxic).sum(), 0), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([*words, ""], pa.string()), *map(pa.array, cols)], ["word", "toxic", "clean", "contexts"])
+
+    words = rows.mapInArrow(count, "word string, toxic long, clean long, contexts long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
+    # a beginning has the texts of all words that begin so; one that no toxic text has is no candidate
+    word = F.col("word")
+    names = F.array_compact(F.array(F.when(word == "", word), F.when(F.length(word).between(1, LONGEST), F.concat(word, F.lit("$"))), *[F.when(F.length(word) >= n, F.substring(word, 1, n)) for n in PREFIXES]))
+    counts = words.select(F.explode(names).alias("feature"), "toxic", "clean", "contexts").groupBy("feature").agg(F.sum("toxic").alias("all"), F.sum("clean").alias("b"), F.bit_count(F.bit_or("contexts")).alias("seen"))
     # as many words before as the hash values that were seen tell
     told = F.when(F.col("seen") < CONTEXTS, F.round(-CONTEXTS * F.log(1 - F.col("seen") / CONTEXTS))).otherwise(F.col("all"))
     counts = counts.withColumn("a", F.when(F.col("feature") == "", F.col("all")).otherwise(F.least(F.col("all").cast("double"), told)).cast("double"))
@@ -336,7 +363,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
             characters = CharacterModel.__new__(CharacterModel)
             characters.cost = cost
             made.append(Model(lexicon, prior, characters))
-        return pa.array([made[0].score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array(made[0].scores(texts))
 
     out = df.withColumn("score", _score(F.col(f"`{text_col}`")))
     return out.withColumn("predicted", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0))
