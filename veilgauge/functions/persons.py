@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm
+from .text import let, norm
 
 WORD = r"[А-Яа-яЁё]+(?:-[А-Яа-яЁё]+)?"
 #: (ending of an oblique form, ending of the nominative)
@@ -35,21 +35,24 @@ def looks_like_person(c: Column) -> Column:
 
 def lemmas(word: Column) -> Column:
     """The word itself and its possible nominatives, folded."""
-    w = norm(word)
-    made = [F.when(F.endswith(w, F.lit(end)) & (F.length(w) > len(end) + 2), F.concat(F.substring(w, F.lit(1), F.length(w) - len(end)), F.lit(base))) for end, base in RULES]
-    return F.array_compact(F.array_distinct(F.array(w, *made)))
+    rules = F.array(*[F.struct(F.lit(end).alias("end"), F.lit(base).alias("base")) for end, base in RULES])
+
+    def made(w: Column) -> Column:
+        fits = F.filter(rules, lambda r: F.endswith(w, r["end"]) & (F.length(w) > F.length(r["end"]) + 2))
+        return F.array_distinct(F.concat(F.array(w), F.transform(fits, lambda r: F.concat(F.substring(w, F.lit(1), F.length(w) - F.length(r["end"])), r["base"]))))
+
+    return let(norm(word), made)
 
 
 def same_person(left: Column, right: Column) -> Column:
     """As many words, each paired with an unused one that shares a lemma, whatever the order; pairs are taken greedily."""
-    a, b = words_of(left), words_of(right)
-    rest = F.transform(b, lemmas)
-    none = F.filter(F.array(F.lit(-1)), lambda x: x > 0)
+    none = F.array().cast("array<int>")
+
+    def compare(x: Column) -> Column:
+        def pair(used: Column, own: Column) -> Column:
+            free = F.filter(F.transform(x["b"], lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda y: ~F.array_contains(used, y["i"]) & F.arrays_overlap(y["r"], own))
+            return F.concat(used, F.transform(F.slice(free, 1, 1), lambda y: y["i"]))
 
-    def pair(used: Column, word: Column) -> Column:
-        own = lemmas(word)
-        free = F.filter(F.transform(rest, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: ~F.array_contains(used, x["i"]) & F.arrays_overlap(x["r"], own))
-        return F.when(F.size(free) > 0, F.concat(used, F.array(free[0]["i"]))).otherwise(used)
+        return (F.size(x["a"]) > 0) & (F.size(x["a"]) == F.size(x["b"])) & (F.size(F.aggregate(x["a"], none, pair)) == F.size(x["a"]))
 
-    matched = F.aggregate(a, none, pair)
-    return (F.size(a) > 0) & (F.size(a) == F.size(b)) & (F.size(matched) == F.size(a))
+    return let(F.struct(F.transform(words_of(left), lemmas).alias("a"), F.transform(words_of(right), lemmas).alias("b")), compare)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 
 def beta_cdf(x: float, a: float, b: float) -> float:
     """The regularised incomplete beta function, by its continued fraction (modified Lentz)."""
@@ -58,6 +59,7 @@ def mcnemar(b: int, c: int) -> float:
 
 def interval_column(hits: Column, total: Column) -> Column:
     """struct(low, high)."""
+    ship_package()
 
     @F.arrow_udf("struct<low: double, high: double>")
     def _interval(h: pa.Array, t: pa.Array) -> pa.Array:
@@ -68,6 +70,7 @@ def interval_column(hits: Column, total: Column) -> Column:
 
 
 def mcnemar_column(b: Column, c: Column) -> Column:
+    ship_package()
     @F.arrow_udf("double")
     def _p(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([mcnemar(int(i), int(j)) for i, j in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())

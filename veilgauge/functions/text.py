@@ -12,6 +12,11 @@ DIGIT_TWINS = ("оОoOзЗб", "0000336")
 PIECE = r"\p{L}{3,}|\p{Nd}{3,}"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: as a plain expression it would be repeated at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm(c: Column) -> Column:
     """Case, the letter yo and runs of white space folded. (Unicode composition is not touched.)"""
     return F.trim(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"(?U)\s+", " "))
@@ -81,22 +86,35 @@ def as_date(c: Column, pivot: int) -> Column:
 
     Years under 100 are in this century up to pivot (the current year's last two digits), else in the last one.
     """
-    t = F.regexp_replace(norm(c), r"^[ .,]+|[ .,]+$", "")
-    numeric, worded = r"^(\p{Nd}{1,4})[./ -](\p{Nd}{1,2})[./ -](\p{Nd}{1,4})$", r"^(\p{Nd}{1,2})(?U:\s)+([а-я]+)(?U:\s)+(\p{Nd}{2,4})$"
+    numeric, worded = r"^(\p{Nd}{1,4})[./ -](\p{Nd}{1,2})[./ -](\p{Nd}{1,4})$", r"(?U)^(\p{Nd}{1,2})\s+([а-я]+)\s+(\p{Nd}{2,4})$"
 
-    def part(pattern: str, i: int) -> Column:
+    def part(t: Column, pattern: str, i: int) -> Column:
         return F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
 
-    first, middle, last = (part(numeric, i).cast("int") for i in (1, 2, 3))
-    day = F.when(first > 31, last).otherwise(first)
-    year = F.when(first > 31, first).otherwise(last)
-    is_word = t.rlike(worded)
-    day = F.when(is_word, part(worded, 1).cast("int")).otherwise(day)
-    month = F.when(is_word, month_number(part(worded, 2))).otherwise(middle)
-    year = F.when(is_word, part(worded, 3).cast("int")).otherwise(year)
-    year = F.when(year < 100, year + F.when(year <= pivot, 2000).otherwise(1900)).otherwise(year)
-    real = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd").isNotNull()
-    return F.when(real & year.isNotNull() & month.isNotNull() & (year >= 1), F.struct(day.alias("day"), month.alias("month"), year.alias("year")))
+    def by_number(t: Column) -> Column:
+        def order(x: Column) -> Column:
+            late = x["a"] > 31
+            return _dated(F.when(late, x["c"]).otherwise(x["a"]), x["b"], F.when(late, x["a"]).otherwise(x["c"]))
+
+        return let(F.struct(*[part(t, numeric, i).cast("int").alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))]), order)
+
+    def by_word(t: Column) -> Column:
+        return _dated(part(t, worded, 1).cast("int"), let(part(t, worded, 2), month_number), part(t, worded, 3).cast("int"))
+
+    def _dated(day: Column, month: Column, year: Column) -> Column:
+        return F.struct(day.alias("day"), month.alias("month"), year.alias("year"))
+
+    def whole(d: Column) -> Column:
+        year = d["year"] + F.when(d["year"] >= 100, 0).when(d["year"] <= pivot, 2000).otherwise(1900)
+        return _dated(d["day"], d["month"], year)
+
+    def real(d: Column) -> Column:
+        known = F.try_to_date(F.format_string("%04d-%02d-%02d", d["year"], d["month"], d["day"]), "yyyy-MM-dd").isNotNull()
+        return F.when(known & (d["year"] >= 1) & d["month"].isNotNull(), d)
+
+    bare = F.regexp_replace(norm(c), r"^[ .,]+|[ .,]+$", "")
+    parsed = let(bare, lambda t: F.when(t.rlike(numeric), by_number(t)).when(t.rlike(worded), by_word(t)))
+    return let(let(parsed, whole), real)
 
 
 def same_number_repaired(produced: Column, canonical: Column) -> Column:

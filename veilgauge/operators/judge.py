@@ -14,9 +14,9 @@ def normalised(produced: Column, canonical: Column, pivot: int) -> Column:
     Two persons are compared as persons, two dates as dates; then numbers by their digits, and last the
     words of the canonical value must appear in order.
     """
-    a, b = text.as_date(produced, pivot), text.as_date(canonical, pivot)
     words = text.is_subsequence(text.fold_tokens(canonical), text.fold_tokens(produced))
-    rest = F.when(a.isNotNull() & b.isNotNull(), a == b).when(text.same_number_repaired(produced, canonical), True).otherwise(words)
+    dates = F.struct(text.as_date(produced, pivot).alias("a"), text.as_date(canonical, pivot).alias("b"))
+    rest = text.let(dates, lambda d: F.when(d["a"].isNotNull() & d["b"].isNotNull(), d["a"] == d["b"]).when(text.same_number_repaired(produced, canonical), True).otherwise(words))
     people = persons.looks_like_person(produced) & persons.looks_like_person(canonical)
     return F.when(F.coalesce(produced, F.lit("")) == "", False).when(people, persons.same_person(produced, canonical)).otherwise(rest)
 
@@ -48,8 +48,8 @@ def parts_verdict(parts: Column, got: Column, owed: Column, pivot: int) -> Colum
     owing = F.filter(parts, lambda k: want(k) != "")
     exact = F.forall(owing, lambda k: F.coalesce(text.same_delivered(at(got, k), want(k)), F.lit(False)))
     loose = F.forall(owing, lambda k: F.coalesce(text.same_delivered(at(got, k), want(k)) | normalised(at(got, k), want(k), pivot), F.lit(False)))
-    trip = present & empty & exact
-    return F.struct(trip.alias("round_trip"), (~trip & present & empty & loose).alias("normalised"))
+    seen = F.struct((present & empty).alias("whole"), exact.alias("exact"))
+    return text.let(seen, lambda x: F.struct((x["whole"] & x["exact"]).alias("round_trip"), (x["whole"] & ~x["exact"] & loose).alias("normalised")))
 
 
 def same_substitute(left: Column, right: Column) -> Column:

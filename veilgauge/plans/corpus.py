@@ -149,17 +149,23 @@ def _draw(rows: DataFrame, seed: int, salt: str) -> DataFrame:
     from .results import content_digest
 
     s = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), "family", "register", F.col("index").cast("string"))
-    d = rows.withColumn("s", s)
-    given, surname = ids.choose(s, "given", GIVEN), ids.choose(s, "surname", SURNAMES)
+    # Drawn values are columns before they are used, and stay so behind an exchange: as expressions they would be drawn anew at each use.
+    n = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    d = rows.withColumn("s", s).repartition(n, "family", "index")
+    s = F.col("s")
+    drawn = {
+        "given": ids.choose(s, "given", GIVEN), "surname": ids.choose(s, "surname", SURNAMES), "city": ids.choose(s, "city", CITIES), "street": ids.choose(s, "street", STREETS),
+        "house": (ids.draw(s, "house", 90) + 1).cast("string"), "flat": (ids.draw(s, "flat", 150) + 1).cast("string"), "phone_digits": ids.make_phone(s),
+        "v_order": (ids.draw(s, "order", 9_000_000) + 1_000_000).cast("string"), "order2": (ids.draw(s, "order2", 9_000_000) + 1_000_000).cast("string"),
+        "v_card": ids.make_card(s), "v_passport": ids.make_passport(s), "v_dob": ids.make_birth_date(s),
+    }
+    d = d.withColumns(drawn).repartition(n, "family", "index")
+    given, surname, city, street, house, flat = (F.col(c) for c in ("given", "surname", "city", "street", "house", "flat"))
     clean = F.col("register") == "clean"
     name = F.when(clean, F.concat_ws(" ", given, surname)).when(F.col("register") == "chat", F.lower(F.concat_ws(" ", given, surname))).otherwise(F.concat_ws(" ", slip(F.lower(given), s), F.lower(surname)))
-    phone = render_phone(ids.make_phone(s), F.col("register"), s)
-    city, street = ids.choose(s, "city", CITIES), ids.choose(s, "street", STREETS)
-    house, flat = (ids.draw(s, "house", 90) + 1).cast("string"), (ids.draw(s, "flat", 150) + 1).cast("string")
     address = F.when(clean, F.concat(F.lit("г. "), city, F.lit(", ул. "), street, F.lit(", д. "), house, F.lit(", кв. "), flat)).otherwise(F.concat(F.lower(city), F.lit(" "), F.lower(street), F.lit(" "), house, F.lit(" кв "), flat))
-    order = (ids.draw(s, "order", 9_000_000) + 1_000_000).cast("string")
-    values = {"name": name, "phone": phone, "card": ids.make_card(s), "passport": ids.make_passport(s), "dob": ids.make_birth_date(s), "address": address}
-    d = d.withColumns({f"v_{k}": v for k, v in values.items()} | {"v_order": order})
+    d = d.withColumns({"v_name": name, "v_phone": render_phone(F.col("phone_digits"), F.col("register"), s), "v_address": address}).repartition(n, "family", "index")
+    values = ("name", "phone", "card", "passport", "dob", "address")
     texts = {
         "create_order": ["Заказ оформите: ", "name", ", телефон ", "phone", ", адрес ", "address", ". Прошлый заказ ", "order"],
         "check_status": ["Где заказ ", "order", "? Мой телефон ", "phone"],
@@ -174,8 +180,8 @@ def _draw(rows: DataFrame, seed: int, salt: str) -> DataFrame:
     for family, pieces in texts.items():
         parts = F.when(F.col("family") == family, F.array(*[_slot(p, F.col(f"v_{p}")) if p in slots else _slot(None, p) for p in pieces])).otherwise(parts)
     d = d.withColumn("m", assemble(parts))
-    second = F.array(_slot(None, "Запишите на "), _slot("name2", F.lower(F.concat_ws(" ", decline_surname(surname, "acc"), decline_given(given, "acc")))), _slot(None, ", номер "), _slot("order2", (ids.draw(s, "order2", 9_000_000) + 1_000_000).cast("string")))
-    d = d.withColumn("m2", F.when(F.col("family") == "second_mention", assemble(second)))
+    second = F.array(_slot(None, "Запишите на "), _slot("name2", F.lower(F.concat_ws(" ", decline_surname(surname, "acc"), decline_given(given, "acc")))), _slot(None, ", номер "), _slot("order2", F.col("order2")))
+    d = d.withColumn("m2", F.when(F.col("family") == "second_mention", assemble(second))).repartition(n, "family", "index")
     two = F.array(F.struct(F.lit("user").alias("role"), F.col("m.text").alias("content")))
     ack = F.struct(F.lit("assistant").alias("role"), F.lit("Принято.").alias("content"))
     messages = F.when(F.col("m2").isNull(), two).otherwise(F.concat(two, F.array(ack), F.array(F.struct(F.lit("user").alias("role"), F.col("m2.text").alias("content")))))
@@ -204,7 +210,7 @@ def _draw(rows: DataFrame, seed: int, salt: str) -> DataFrame:
     pii = F.transform(F.filter(spans, lambda x: ~F.startswith(x["s"]["key"], F.lit("order"))), item)
     neg = F.transform(F.filter(spans, lambda x: F.startswith(x["s"]["key"], F.lit("order"))), lambda x: F.struct(value(x).alias("value"), F.lit("order_no").alias("kind"), x["turn"].alias("turn"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end")))
     tool = F.create_map(*[F.lit(x) for k, v in TOOLS.items() for x in (k, v[0])])[F.col("family")]
-    d = d.withColumns({"messages": messages, "pii": pii, "negatives": neg})
+    d = d.withColumns({"messages": messages, "pii": pii, "negatives": neg}).repartition(n, "family", "index")
     fed = F.array_compact(F.array_distinct(F.transform("pii", lambda p: p["tool_param"])))
     params = F.when(cut, F.array(*[F.lit(x) for x in part_names])).otherwise(fed)
     findable = F.exists("pii", lambda p: ~p["type"].isin("NAME", "ADDRESS"))

@@ -153,12 +153,15 @@ def evaluate(cases: DataFrame, masker: str | Masker = "placeholder_regex", polic
     shared = F.coalesce("together.shared", F.lit(False))
     received = F.try_element_at("delivered_map", F.col("tool_param"))
     got = F.map_from_arrays(order, F.transform(order, lambda k: F.try_element_at("delivered_map", k)))
-    by_parts = judge.parts_verdict(order, got, cut(F.col("type"), owed), pivot)
-    j = j.withColumns({"owed": owed, "shared_block": shared, "received": F.when(has_parts, F.to_json(got)).otherwise(received)})
+    j = j.withColumns({"owed": owed, "shared_block": shared, "got": got})
+    j = j.withColumns({"owed_parts": F.when(has_parts, cut(F.col("type"), F.col("owed"))), "received": F.when(has_parts, F.to_json("got")).otherwise(received)})
+    j = j.withColumn("by_parts", F.when(has_parts, judge.parts_verdict(order, F.col("got"), F.col("owed_parts"), pivot)))
+    by_parts = F.col("by_parts")
     measured = F.col("tool_param").isNotNull() & F.col("call_made") & ~F.col("shared_block")
     simple = judge.round_trip(F.col("tool_param"), F.col("call_made"), F.col("shared_block"), F.col("received"), F.col("owed"))
     j = j.withColumn("round_trip", F.when(has_parts & measured, by_parts["round_trip"]).otherwise(simple))
-    mended = F.when(has_parts & measured, by_parts["normalised"]).otherwise(judge.repaired(F.col("round_trip"), F.col("received"), F.col("owed"), pivot))
+    j = j.withColumn("mended", F.when(has_parts & measured, by_parts["normalised"]).otherwise(judge.repaired(F.col("round_trip"), F.col("received"), F.col("owed"), pivot)))
+    mended = F.coalesce("mended", F.lit(False))
     covered = F.when((F.col("type") == "ADDRESS") & F.col("together.altered") & ~F.col("together.covered"), ~align.address_survives(F.col("value"), F.col("together.text"), cities)).otherwise(F.col("together.covered"))
     typed = F.try_element_at(F.filter("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])), F.lit(1))["type"]
     items = j.select(

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..operators import detect
 
 OUT = "conv_id long, turn long, masked string, tokens int"
@@ -35,6 +36,7 @@ def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
 def mask_stream(messages: DataFrame, patterns: tuple = detect.RUSSIAN) -> DataFrame:
     """messages: a stream (conv_id long, turn long, text string). Claims are made inside the JVM; only the vault, one state
     per conversation, is kept by the stateful operator. A state is as large as its conversation's distinct values."""
+    ship_package()
     found = messages.withColumn("c", detect.claims(F.col("text"), patterns))
     flat = found.select("conv_id", "turn", "text", F.transform("c", lambda x: x["type"]).alias("kinds"), F.transform("c", lambda x: x["value"]).alias("values"))
     return flat.groupBy("conv_id").applyInPandasWithState(_advance, OUT, STATE, "append", "NoTimeout")
