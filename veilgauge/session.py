@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,12 @@ def ship_package(spark: SparkSession | None = None) -> None:
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(f"{d}/veilgauge.zip")
     sc._veilgauge_shipped = True
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilgauge-"))
+        top = spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/veilgauge-{tag}-{uuid.uuid4().hex}"
