@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Reserve codes of the numbering plan, passport series regions, and check-digit weights.
 RESERVE_CODES = ("907", "935", "943", "944", "945", "946", "947", "948", "972", "973", "974", "975", "976")
 REGIONS = ("45", "40", "46", "50", "63", "66", "24", "92", "77", "16", "52", "54")
@@ -12,13 +14,17 @@ INN_11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN_12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 
 
-def digit(c: Column, i: int) -> Column:
-    """The i-th digit (from 0) of a digit string."""
-    return F.substring(c, i + 1, 1).cast("int")
+def digit_array(c: Column) -> Column:
+    """The digits of a digit string."""
+    return F.transform(F.split(c, ""), lambda d: d.cast("int"))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
 def _weighted(c: Column, weights: tuple[int, ...]) -> Column:
-    return sum((digit(c, i) * w for i, w in enumerate(weights)), F.lit(0))
+    return _sum(F.zip_with(digit_array(c), F.array(*[F.lit(w) for w in weights]), lambda d, w: d * w))
 
 
 def luhn_ok(digits: Column) -> Column:
@@ -28,11 +34,8 @@ def luhn_ok(digits: Column) -> Column:
 
 def luhn_digit(body: Column, size: int) -> Column:
     """The digit that completes a body of size digits."""
-    total = F.lit(0)
-    for i in range(size):
-        d = digit(body, size - 1 - i)
-        total = total + (F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2) if i % 2 == 0 else d)
-    return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10))
+    doubled = F.transform(digit_array(body), lambda d, i: F.when((size - i) % 2 == 1, F.floor(2 * d / 10) + F.pmod(2 * d, F.lit(10))).otherwise(d).cast("int"))
+    return F.pmod(10 - F.pmod(_sum(doubled), F.lit(10)), F.lit(10))
 
 
 def snils_check(body: Column) -> Column:
@@ -41,20 +44,23 @@ def snils_check(body: Column) -> Column:
 
 
 def snils_ok(c: Column) -> Column:
-    d = F.regexp_replace(c, r"[^\p{Nd}]", "")
-    return (F.length(d) == 11) & F.coalesce(F.substring(d, 10, 2).cast("int") == snils_check(d), F.lit(False))
+    def check(d: Column) -> Column:
+        return (F.length(d) == 11) & F.coalesce(F.substring(d, 10, 2).cast("int") == snils_check(F.substring(d, 1, 9)), F.lit(False))
+
+    return let(F.regexp_replace(c, r"[^0-9]", ""), check)
 
 
 def inn_digits(body: Column) -> Column:
     """The two check digits of ten digits, as a string."""
-    c11 = F.pmod(F.pmod(_weighted(body, INN_11), F.lit(11)), F.lit(10))
-    longer = F.concat(body, c11.cast("string"))
-    c12 = F.pmod(F.pmod(_weighted(longer, INN_12), F.lit(11)), F.lit(10))
-    return F.concat(c11.cast("string"), c12.cast("string"))
+
+    def last(c: Column, weights: tuple[int, ...]) -> Column:
+        return F.pmod(F.pmod(_weighted(c, weights), F.lit(11)), F.lit(10)).cast("string")
+
+    return let(body, lambda b: let(last(b, INN_11), lambda x: F.concat(x, last(F.concat(b, x), INN_12))))
 
 
 def inn_ok(c: Column) -> Column:
-    return c.rlike("^[0-9]{12}$") & (F.substring(c, 11, 2) == inn_digits(F.substring(c, 1, 10)))
+    return let(c, lambda x: F.when(x.rlike("^[0-9]{12}$"), F.substring(x, 11, 2) == inn_digits(F.substring(x, 1, 10))).otherwise(F.lit(False)))
 
 
 # --- seeded draws: stable under any partitioning ------------------------------------
@@ -79,20 +85,19 @@ def make_phone(seed: Column) -> Column:
 
 
 def make_snils(seed: Column) -> Column:
-    body = F.concat((draw(seed, "snils0", 9) + 1).cast("string"), digits(seed, "snils", 8))
-    groups = [F.substring(body, 1, 3), F.substring(body, 4, 3), F.substring(body, 7, 3)]
-    return F.concat(F.concat_ws("-", *groups), F.lit(" "), F.lpad(snils_check(body).cast("string"), 2, "0"))
+    def write(b: Column) -> Column:
+        return F.concat(F.concat_ws("-", F.substring(b, 1, 3), F.substring(b, 4, 3), F.substring(b, 7, 3)), F.lit(" "), F.lpad(snils_check(b).cast("string"), 2, "0"))
+
+    return let(F.concat((draw(seed, "snils0", 9) + 1).cast("string"), digits(seed, "snils", 8)), write)
 
 
 def make_inn(seed: Column) -> Column:
-    body = F.concat((draw(seed, "inn0", 9) + 1).cast("string"), digits(seed, "inn", 9))
-    return F.concat(body, inn_digits(body))
+    return let(F.concat((draw(seed, "inn0", 9) + 1).cast("string"), digits(seed, "inn", 9)), lambda b: F.concat(b, inn_digits(b)))
 
 
 def make_card(seed: Column) -> Column:
-    body = F.concat(F.lit("2200"), digits(seed, "card", 11))
-    full = F.concat(body, luhn_digit(body, 15).cast("string"))
-    return F.concat_ws(" ", *[F.substring(full, i, 4) for i in (1, 5, 9, 13)])
+    full = let(F.concat(F.lit("2200"), digits(seed, "card", 11)), lambda b: F.concat(b, luhn_digit(b, 15).cast("string")))
+    return let(full, lambda c: F.concat_ws(" ", *[F.substring(c, i, 4) for i in (1, 5, 9, 13)]))
 
 
 def make_passport(seed: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
+from ..operators.detect import RUSSIAN
 
 # How many cases of each family and register.
 PLAN = {
@@ -213,7 +214,15 @@ def _draw(rows: DataFrame, seed: int, salt: str) -> DataFrame:
     d = d.withColumns({"messages": messages, "pii": pii, "negatives": neg}).repartition(n, "family", "index")
     fed = F.array_compact(F.array_distinct(F.transform("pii", lambda p: p["tool_param"])))
     params = F.when(cut, F.array(*[F.lit(x) for x in part_names])).otherwise(fed)
-    findable = F.exists("pii", lambda p: ~p["type"].isin("NAME", "ADDRESS"))
+    shapes = dict(RUSSIAN)
+
+    def has_shape(p: Column) -> Column:
+        out = F.lit(False)
+        for kind_, pattern in shapes.items():
+            out = F.when(p["type"] == kind_, p["value"].rlike(pattern.replace("(?i)", "(?iu)"))).otherwise(out)
+        return out
+
+    findable = F.exists("pii", has_shape)
     return d.select(
         F.concat_ws("-", "family", "register", F.lpad(F.col("k").cast("string"), 3, "0")).alias("id"), F.lit("0.1").alias("version"), "family", "register",
         F.when(F.col("family") == "second_mention", "declined").alias("subcase"), "messages",

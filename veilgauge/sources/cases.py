@@ -43,16 +43,25 @@ def read_runs(spark: SparkSession, path: str, archived: bool = False) -> DataFra
     return found if archived else found.where(~F.col("_metadata.file_path").contains("/_archive/"))
 
 
+def _observed(runs: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """A row per observation o, with the keys under their last names."""
+    names = [k.rpartition(".")[2] for k in keys]
+    return runs.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.explode("observations").alias("o")), names
+
+
 def item_observations(runs: DataFrame, *keys: str) -> DataFrame:
-    return runs.select(*keys, F.explode("observations").alias("o")).select(*keys, F.explode("o.items").alias("i")).select(*keys, "i.*")
+    found, names = _observed(runs, keys)
+    return found.select(*names, F.explode("o.items").alias("i")).select(*names, "i.*")
 
 
 def negative_observations(runs: DataFrame, *keys: str) -> DataFrame:
-    return runs.select(*keys, F.explode("observations").alias("o")).select(*keys, F.explode("o.negatives").alias("n")).select(*keys, "n.*")
+    found, names = _observed(runs, keys)
+    return found.select(*names, F.explode("o.negatives").alias("n")).select(*names, "n.*")
 
 
 def case_observations(runs: DataFrame, *keys: str) -> DataFrame:
-    return runs.select(*keys, F.explode("observations").alias("o")).select(*keys, "o.*").drop("items", "negatives")
+    found, names = _observed(runs, keys)
+    return found.select(*names, "o.*").drop("items", "negatives")
 
 
 # --- views of cases -------------------------------------------------------------
