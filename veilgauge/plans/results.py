@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import rewrite
+from ..functions import rewrite, text
 from ..operators import judge, score
 from ..sources import cases as src
 
@@ -57,28 +57,30 @@ def run_file(items: DataFrame, negatives: DataFrame, cases: DataFrame, manifest:
     return head.join(lines, F.lit(True)).join(run, F.lit(True)).join(obs, F.lit(True)).select("manifest", "lines", "run", "observations")
 
 
-def rejudge(items: DataFrame, gold: DataFrame, policy: str = "copier", pivot: int = 26) -> DataFrame:
+def rejudge(items: DataFrame, gold: DataFrame, policy: str | Column = "copier", pivot: int = 26) -> DataFrame:
     """items with round_trip and normalised by the current judge; what was masked and delivered is the record and stays.
 
-    Items whose gold is unknown, or that were not measured or delivered, keep their verdicts.
+    Items whose gold is unknown, or that were not measured or delivered, keep their verdicts. policy: an agent, or a column
+    that names it. What a step needs again is a column first, else its expression would be repeated at each use.
     """
-    g = gold.select("case_id", "item_id", F.col("type").alias("g_type"), "canonical", F.col("parts").alias("g_parts"))
+    g = gold.select("case_id", "item_id", F.col("type").alias("_type"), F.col("canonical").alias("_canonical"), F.col("parts").alias("_parts"))
     both = items.join(g, ["case_id", "item_id"], "left")
-    owed = rewrite.rewrite(F.col("g_type"), F.col("canonical"), pivot) if policy == "rewriter" else F.col("canonical")
-    has_parts = F.col("g_parts").isNotNull() & (F.size("g_parts") > 0)
-    again = F.col("round_trip").isNotNull() & F.col("delivered").isNotNull() & F.col("canonical").isNotNull()
-    from ..functions.text import same_delivered
-
-    order = F.map_keys("g_parts")
-    address = rewrite.cut_address(owed, F.array_contains(order, "city"))
-    fields = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), address[k].alias("value")) for k in ("city", "street", "house", "flat")]), lambda x: x["value"].isNotNull())
-    cut = F.when(F.col("g_type") == "NAME", rewrite.cut_name(owed, order)).otherwise(F.map_from_entries(fields))
-    got = F.from_json("delivered", "map<string,string>")
-    by_parts = judge.parts_verdict(order, got, cut, pivot)
-    trip = F.when(has_parts & got.isNotNull(), by_parts["round_trip"]).when(has_parts, F.col("round_trip")).otherwise(F.coalesce(same_delivered(F.col("delivered"), owed), F.lit(False)))
-    both = both.withColumn("_rt", F.when(again, trip).otherwise(F.col("round_trip")))
-    mended = F.when(has_parts & got.isNotNull(), by_parts["normalised"]).when(has_parts, F.col("normalised")).otherwise(judge.repaired(F.col("_rt"), F.col("delivered"), owed, pivot))
-    both = both.withColumn("_n", F.when(again, mended).otherwise(F.col("normalised")))
+    agent = F.lit(policy) if isinstance(policy, str) else policy
+    owed = F.col("_canonical")
+    if not isinstance(policy, str) or policy != "copier":
+        owed = F.when(agent == "rewriter", rewrite.rewrite(F.col("_type"), owed, pivot)).otherwise(owed)
+    both = both.withColumn("_owed", owed)
+    order = F.map_keys("_parts")
+    fields = text.let(rewrite.cut_address(F.col("_owed"), F.array_contains(order, "city")), lambda x: F.filter(F.array(*[F.struct(F.lit(k).alias("key"), x[k].alias("value")) for k in ("city", "street", "house", "flat")]), lambda y: y["value"].isNotNull()))
+    has_parts = F.coalesce(F.size("_parts") > 0, F.lit(False))
+    cut = F.when(F.col("_type") == "NAME", rewrite.cut_name(F.col("_owed"), order)).otherwise(F.map_from_entries(fields))
+    both = both.withColumns({"_has": has_parts, "_cut": F.when(has_parts, cut), "_got": F.when(has_parts, F.from_json("delivered", "map<string,string>"))})
+    both = both.withColumn("_by", F.when(F.col("_has") & F.col("_got").isNotNull(), judge.parts_verdict(order, F.col("_got"), F.col("_cut"), pivot)))
+    again = F.col("round_trip").isNotNull() & F.col("delivered").isNotNull() & F.col("_canonical").isNotNull() & (~F.col("_has") | F.col("_by").isNotNull())
+    whole = F.coalesce(text.same_delivered(F.col("delivered"), F.col("_owed")), F.lit(False))
+    both = both.withColumns({"_again": again, "_rt": F.when(again & F.col("_has"), F.col("_by.round_trip")).when(again, whole).otherwise(F.col("round_trip"))})
+    mended = judge.repaired(F.col("_rt"), F.col("delivered"), F.col("_owed"), pivot)
+    both = both.withColumn("_n", F.when(F.col("_again") & F.col("_has"), F.col("_by.normalised")).when(F.col("_again"), mended).otherwise(F.col("normalised")))
     return both.select(*[F.col("_rt").alias(c) if c == "round_trip" else F.col("_n").alias(c) if c == "normalised" else F.col(c) for c in items.columns])
 
 
@@ -100,8 +102,7 @@ def board(runs: DataFrame, digest: str, gold: DataFrame | None = None) -> tuple[
     keys = ("policy", "system")
     items, negs, cases = src.item_observations(current, *keys), src.negative_observations(current, *keys), src.case_observations(current, *keys)
     if gold is not None:
-        parts = [rejudge(items.where(F.col("policy") == p), gold, p) for p in schema.POLICIES]
-        items = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        items = rejudge(items, gold, F.col("policy"))
     lines = score.with_intervals(score.lines(items, negs, cases, keys))
     copier = items.where("policy = 'copier'")
     outcome = copier.select("system", "case_id", "item_id", F.explode(F.array(F.struct(F.lit("leak").alias("line"), F.col("altered").alias("ok")), F.struct(F.lit("end_to_end").alias("line"), F.col("round_trip").alias("ok")))).alias("o")).select("system", "case_id", "item_id", "o.line", "o.ok").where("ok IS NOT NULL")
