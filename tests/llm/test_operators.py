@@ -129,6 +129,32 @@ def test_representatives_at_a_similarity_of_four_fifths(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
 
 
+def test_only_and_nearly_all_pairs_of_four_fifths_are_linked(spark):
+    rng = random.Random(12)
+    data = []
+    for i in range(200):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        changed = 8 if i % 2 else 9  # of 400 shingles 5 each: similarities of 360 / 440 and 355 / 445
+        other = list(w)
+        for k in range(changed):
+            other[20 + 40 * k] = "edited"
+        data += [(i, " ".join(w)), (1000 + i, " ".join(other))]
+    kept = {r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert set(range(200)) <= kept and {1000 + i for i in range(0, 200, 2)} <= kept
+    assert sum(1000 + i in kept for i in range(1, 200, 2)) == 0
+
+
+def test_links_beside_the_least_of_a_band(spark):
+    w = [f"w{i}" for i in range(404)]
+    chain = []
+    for k in range(5):  # neighbours differ in 4 words, the ends in 16
+        chain.append((k, " ".join(w)))
+        for j in range(4):
+            w[10 + 20 * (4 * k + j)] = f"edited{k}"
+    kept = simhash.keep_representatives(spark.createDataFrame([chain[i] for i in (2, 0, 4, 1, 3)], "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_representatives_keep_columns_and_odd_rows(docs, empty):
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
