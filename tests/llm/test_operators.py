@@ -236,6 +236,14 @@ def test_later_passages_go_and_first_ones_stay(spark):
         assert "shared5" not in out[i].text and out[i].text.startswith(other(i)) and out[i].text.rstrip().endswith(f"tail{i}x29.") and out[i].removed_runs == 1
 
 
+def test_passages_without_sentences_go(spark):
+    plain = " ".join(f"plain{i}" for i in range(60))  # no sentence end, no capital
+    middle = " ".join(f"w{i}." if i % 20 == 19 else f"w{i}" for i in range(26))
+    data = [(1, f"Of one {plain} and {middle} here."), (2, f"But two {plain} or so {middle} there."), (3, " ".join(middle.split()[:24]))]
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out[1] == data[0][1] and out[2] == "But two or so there." and out[3] == data[2][1]
+
+
 def test_line_dedup_of_odd_tables(docs, empty):
     out = line_dedup.line_dedup(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and line_dedup.line_dedup(empty).count() == 0

@@ -1,20 +1,18 @@
-"""Line dedup: winnowing over hashes of line runs, and removal of later repeated runs.
-
-A text is cut into units, lines and the sentences in them. At each unit a gram starts: the units from
-there on that hold ``gram_words`` words; it is hashed in normal form. Of any ``window`` grams in a
-row, the one with the least hash is a fingerprint (the last of equals), so that two texts which share
-a run of window grams share a fingerprint of it, wherever the run stands. A fingerprint that occurs
-again is joined with its first occurrence, in the order of (id, hash of the text, position). It proves
-that its gram stood there before; grams that touch make a run, and a run is extended both ways by the
-unit next to it where that equals the unit next to the first occurrence. Runs of ``min_words`` words
-or more are deleted from the later text; the first occurrence stays.
+"""Line dedup: winnowing over hashes of word runs, and removal of later repeated runs.
+
+At each word a gram of ``gram_words`` words starts, hashed in normal form, and a run of ``min_words``
+words, which holds ``min_words - gram_words + 1`` grams. Of those the one with the least hash is the
+run's fingerprint (the last of equals). Equal runs have equal fingerprints, so only runs whose
+fingerprint occurs again can be repeated, and fingerprints are few. Those runs are hashed whole, and a
+run is repeated if the same run stands before it, in the order of (id, hash of the text, position), in
+whatever text. What repeated runs cover is deleted: exactly the words of all passages of ``min_words``
+words or more that stand in full somewhere earlier. The first occurrence of a run does not go with it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +25,15 @@ from ._common import materialize, small_batches
 #: A unit ends with its terminators, line feeds among them, or before a capitalised word, so that a
 #: passage set into the middle of a sentence starts a unit too.
 _UNIT = re.compile(rb"(?:[^.!?\n \t]+|[ \t]+(?!(?:[A-Z]|\xc3[\x80-\x9e])))+[.!?\n]*|[.!?\n \t]+")
-GRAM_WORDS, WINDOW, MIN_WORDS = 10, 2, 25
+GRAM_WORDS, MIN_WORDS = 10, 25
+_WORD = re.compile(rb"\S+")
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _digest(normal: bytes) -> int:
     return xxhash.xxh64_intdigest(normal, 11)
 
 
-def _mark(normal: bytes) -> int:
-    """32 bits of a neighbouring unit's hash; 0 stands for no unit."""
-    return _digest(normal) >> 32 or 1
-
-
 def units(text: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
     """The pieces that the text is cut into, and of those with words the normal forms (A-Z lower-cased, words joined
     by one space) and the numbers of words. Pieces without words belong to the unit before them.
@@ -48,20 +43,6 @@ def units(text: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
     return pieces, [b" ".join(w).lower() for w in words], list(map(len, words))
 
 
-def gram_ends(counts: list[int], gram_words: int) -> list[int]:
-    """For each unit, one past the last unit of the gram from there; the list stops where grams run out."""
-    ends, j, held, n = [], 0, 0, len(counts)
-    for own in counts:
-        while held < gram_words and j < n:
-            held += counts[j]
-            j += 1
-        if held < gram_words:
-            break
-        ends.append(j)
-        held -= own
-    return ends
-
-
 def minima(hashes: list[int], window: int) -> list[int]:
     """Positions of the least hash, the last of equals, in each window (in all of them, if there are fewer)."""
     chosen: list[int] = []
@@ -75,48 +56,39 @@ def minima(hashes: list[int], window: int) -> list[int]:
     return chosen
 
 
-def fingerprints(text: bytes, gram_words: int = GRAM_WORDS, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(place, hash of the gram, marks of the units before and after it), window minima only.
-
-    place: the position, and in the lower 16 bits the gram's words.
-    """
-    _, normal, counts = units(text)
-    ends = gram_ends(counts, gram_words)
-    joined = b" ".join(normal)
-    stops = list(accumulate(map(len, normal), lambda a, b: a + 1 + b))  # of the units in joined
-    starts = [0, *[x + 1 for x in stops]]
-    hashes = [_digest(joined[a : stops[j - 1]]) for a, j in zip(starts, ends, strict=False)]
-    before = list(accumulate(counts, initial=0))
-    n = len(normal)
-    out = []
-    for i in minima(hashes, window):
-        j = ends[i]
-        sides = (_mark(normal[i - 1]) if i else 0) << 32 | (_mark(normal[j]) if j < n else 0)
-        out.append((i << 16 | min(before[j] - before[i], 0xFFFF), hashes[i] - (1 << 63), sides - (1 << 63)))
-    return out
-
-
-def later_runs(text: bytes, found: list[tuple[int, bool, bool]], gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Byte bounds of the repeated runs. found: (position, unit before is repeated too, unit after too) of the later fingerprints."""
-    pieces, normal, counts = units(text)
-    bounds, at = [], 0
-    for p in pieces:
-        if bounds and not p.strip():
-            bounds[-1][1] += len(p)
-        else:
-            bounds.append([at, at + len(p)])
-        at += len(p)
-    if bounds and not pieces[0].strip():  # white space ahead of the first unit is not a unit
-        del bounds[0]
-    ends = gram_ends(counts, gram_words)
-    runs: list[list[int]] = []
-    for i, left, right in sorted(found):
-        a, b = max(0, i - left), min(len(normal), ends[i] + right)
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, of the words' hashes."""
+    count = max(0, len(words) - n + 1)
+    out = np.zeros(count, np.uint64)
+    for k in range(n if count else 0):
+        out = out * _FACTOR + words[k : k + count]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(32)
+
+
+def runs_of(text: bytes, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the run at each word: the hash of its fingerprint, the fingerprint's position, and the hash of the whole run."""
+    tokens = text.lower().split()
+    if len(tokens) < min_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = np.fromiter(map(_digest, tokens), np.uint64, len(tokens))
+    grams, whole = run_hashes(words, gram_words), run_hashes(words, min_words)
+    window = min_words - gram_words + 1
+    best = np.arange(len(whole)) + window - 1 - np.lib.stride_tricks.sliding_window_view(grams, window)[:, ::-1].argmin(axis=1)
+    return grams[best].view(np.int64), best, whole.view(np.int64)
+
+
+def later_runs(text: bytes, found: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """Byte bounds of what the repeated runs cover, with the white space after it. found: their positions."""
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    covered: list[list[int]] = []
+    for i in sorted(found):
+        if covered and i <= covered[-1][1]:
+            covered[-1][1] = i + min_words
         else:
-            runs.append([a, b])
-    return [(bounds[a][0], bounds[b - 1][1]) for a, b in runs if sum(counts[a:b]) >= min_words]
+            covered.append([i, i + min_words])
+    return [(starts[a], starts[b]) for a, b in covered]
 
 
 def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
@@ -127,43 +99,55 @@ def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-_SCHEMA = "id long, th long, place long, gram long, sides long"
-
-
-def _fingerprint_rows(gram_words: int, window: int):
+def _gram_rows(gram_words: int, min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, found = [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
-                own = fingerprints(t or b"", gram_words, window)
+                gram, place, _ = runs_of(t or b"", gram_words, min_words)
+                own = gram[np.flatnonzero(np.diff(place, prepend=-1))]
                 sizes.append(len(own))
-                found += own
+                found.append(own)
             at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            cols = np.array(found, dtype=np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, cols)], ["id", "th", "place", "gram", "sides"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["id", "th", "gram"])
 
     return rows
 
 
-def repeated_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, found): for each text that may have a run of min_words, the positions and extensions of its later fingerprints."""
-    small_batches(df.sparkSession)
-    keyed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
-    marks = materialize(keyed.mapInArrow(_fingerprint_rows(gram_words, window), _SCHEMA), "winnow")
-    # Nulls come last in the order; repeated rows are one text, so a gram of them alone is no repeat.
-    first = F.struct(F.col("id").isNull().alias("n"), "id", "th", "place", "sides")
-    firsts = marks.groupBy("gram").agg(F.min(first).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
-    hit = marks.join(firsts, "gram").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("place") == F.col("f.place"))))
+def _run_rows(gram_words: int, min_words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, places, runs = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t, again in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3), strict=True):
+                gram, _, whole = runs_of(t or b"", gram_words, min_words)
+                pos = np.flatnonzero(np.isin(gram, again.values.to_numpy(zero_copy_only=False)))
+                sizes.append(len(pos))
+                places.append(pos)
+                runs.append(whole[pos])
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(runs))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "pos", "run"])
+
+    return rows
 
-    def side(bits: int):
-        own, other = (F.col(c).bitwiseXOR(F.lit(-(2**63))) for c in ("sides", "f.sides"))
-        mask = F.lit(0xFFFFFFFF << bits if bits == 0 else -(1 << 32))
-        return (own.bitwiseAND(mask) == other.bitwiseAND(mask)) & (own.bitwiseAND(mask) != 0)
 
-    hit = hit.select("id", "th", F.shiftright("place", 16).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("words"), side(32).alias("left"), side(0).alias("right"))
-    # A text whose later grams and extensions cannot make a run is dropped here already.
-    enough = (F.sum("words") >= min_words) | F.bool_or(F.col("left") | F.col("right"))
-    return hit.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "left", "right")).alias("found"), enough.alias("enough")).where("enough").drop("enough")
+def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, found): for each text with repeated runs, the positions of those that stand earlier too."""
+    small_batches(df.sparkSession)
+    keyed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
+    marks = materialize(keyed.mapInArrow(_gram_rows(gram_words, min_words), "id long, th long, gram long"), "winnow")
+    repeated = materialize(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
+    again = marks.join(repeated, "gram").groupBy("id", "th").agg(F.collect_set("gram").alias("again"))
+    again = again.select(F.col("id").alias("a_id"), F.col("th").alias("a_th"), "again")
+    own = keyed.join(again, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))).select("id", "th", "text", "again")
+    runs = materialize(own.mapInArrow(_run_rows(gram_words, min_words), "id long, th long, pos int, run long"), "runs")
+    # Nulls come last in the order; repeated rows are one text, so a run of them alone is no repeat.
+    first = F.struct(F.col("id").isNull().alias("n"), "id", "th", "pos")
+    firsts = materialize(runs.groupBy("run").agg(F.min(first).alias("f"), F.count("*").alias("n")).where("n > 1").select("run", "f"), "first-runs")
+    same = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
+    # in the text of the first occurrence, a run that overlaps it would take a part of it
+    hit = runs.join(firsts, "run").where(~same | (F.col("pos") >= F.col("f.pos") + min_words))
+    return hit.groupBy("id", "th").agg(F.collect_set("pos").alias("found"))
 
 
 def line_dedup(
@@ -173,7 +157,6 @@ def line_dedup(
     text_col: str = "text",
     n_chars_col: str | None = "n_chars",
     gram_words: int = GRAM_WORDS,
-    window: int = WINDOW,
     min_words: int = MIN_WORDS,
     report: bool = False,
 ) -> DataFrame:
@@ -184,7 +167,7 @@ def line_dedup(
     not repeat the other. Nulls among ids come last in the order. With report, the columns
     removed_runs (int) and removed_chars (long) are added, or replaced.
     """
-    found = repeated_fingerprints(df, id_col=id_col, text_col=text_col, gram_words=gram_words, window=window, min_words=min_words)
+    found = repeated_runs(df, id_col=id_col, text_col=text_col, gram_words=gram_words, min_words=min_words)
     found = found.select(F.col("id").alias("__vg_id"), F.col("th").alias("__vg_th"), F.col("found").alias("__vg_found"))
     rows = df.withColumns({"__vg_i": F.col(f"`{id_col}`").cast("long"), "__vg_t": F.xxhash64(F.col(f"`{text_col}`"))})
     rows = rows.join(found, F.col("__vg_i").eqNullSafe(F.col("__vg_id")) & (F.col("__vg_t") == F.col("__vg_th")), "left")
@@ -193,7 +176,7 @@ def line_dedup(
     def _cut(texts: pa.Array, founds: pa.Array) -> pa.Array:
         out, runs = [], []
         for t, f in zip(texts.cast(pa.binary()).to_pylist(), founds.to_pylist(), strict=True):
-            cuts = later_runs(t, [(x["pos"], x["left"], x["right"]) for x in f], gram_words, min_words) if f and t else []
+            cuts = later_runs(t, f, min_words) if f and t else []
             out.append(without(t, cuts) if cuts else t)
             runs.append(len(cuts))
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(runs, pa.int32())], ["text", "runs"])
