@@ -244,6 +244,13 @@ def test_passages_without_sentences_go(spark):
     assert out[1] == data[0][1] and out[2] == "But two or so there." and out[3] == data[2][1]
 
 
+def test_a_passage_goes_whatever_occurrences_its_parts_have(spark):
+    s = [" ".join(f"{tag}{i}" for i in range(15)).capitalize() + "." for tag in "abcd"]
+    data = [(1, f"{s[0]} Alone."), (2, f"Own. {s[2]} Alone."), (5, f"Five. {' '.join(s)} End five."), (9, f"Nine. {' '.join(s)} End nine."), (10, "la " * 60)]
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out[5] == data[2][1] and out[9] == "Nine. nine." and out[10] == "la " * 25
+
+
 def test_line_dedup_of_odd_tables(docs, empty):
     out = line_dedup.line_dedup(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and line_dedup.line_dedup(empty).count() == 0
