@@ -46,3 +46,9 @@ def test_flagship(spark):
 def test_streams(spark):
     q = entry.queries()
     assert q["stream_vault"](spark, SF).count() > 0
+
+
+def test_runs_are_over_the_whole_plan(spark):
+    strata = {r.stratum: r for r in entry.queries()["corpus_strata"](spark, SF).collect()}
+    assert sum(r.value for k, r in strata.items() if k.startswith("family:")) == 314
+    assert all(strata[f"family:{f}"].ok for f in ("create_order", "decompose", "refund"))

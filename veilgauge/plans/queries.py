@@ -448,18 +448,15 @@ def same_persons(spark, sf_dir):
 
 # --- whole runs over a generated corpus: not expressible in SQL ---------------------------------------
 
-_SMALL = {"create_order": (2, 3, 2), "check_status": (1, 2, 1), "verify_identity": (2, 3, 2), "refund": (1, 2, 1), "send_sms": (1, 2, 1), "second_mention": (2, 3, 2), "decompose": (2, 3, 2)}
-
-
 _WRITTEN: dict[str, str] = {}
 
 
 def _corpus(spark: SparkSession) -> DataFrame:
-    """The corpus, generated and written once per application."""
+    """The corpus of the full plan, generated and written once per application."""
     app = spark.sparkContext.applicationId
     if app not in _WRITTEN:
         path = shared_path(spark, "cases")
-        src.write_cases(corpus.generate(spark, 1, _SMALL), path)
+        src.write_cases(corpus.generate(spark, 1), path)
         _WRITTEN[app] = path
     return src.read_written_cases(spark, _WRITTEN[app])
 
