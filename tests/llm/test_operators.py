@@ -439,6 +439,16 @@ def test_decoding_is_the_best_path():
     assert toxicity.decode(text, m) == min(paths(0, "", 0.0))[1] == "idiot" and every
 
 
+def test_purity_is_a_share_of_distinct_texts(spark):
+    rng = random.Random(5)
+    own = lambda: " ".join("".join(rng.choice("aeioustrn") for _ in range(6)) for _ in range(12))
+    # few words before, many toxic texts, one mislabelled clean text; and a clean text of 40 copies
+    data = [(f"{own()} before{i % 15} grobian {own()}", 1) for i in range(200)] + [(f"{own()} {own()} halunke", 1) for i in range(60)]
+    data += [(own(), 0) for _ in range(600)] + [(f"{own()} grobian", 0)] + [(f"{own()} halunke", 0)]
+    data += [data[-1]] * 40
+    assert {"grobian$", "halunke$"} <= set(toxicity.train(df := spark.createDataFrame(data, "text string, toxic int"), df).lexicon)
+
+
 def test_toxicity_of_odd_tables(docs, empty, toxic_model):
     out = toxicity.score(docs, toxic_model[0])
     assert out.count() == docs.count() and out.where("score IS NULL OR score < 0 OR score > 1 OR predicted <> 0").count() == 0

@@ -59,8 +59,9 @@ PREFIXES, LONGEST = (4, 5, 6, 7), 20
 #: An entry: in at least MIN_DOCS toxic texts, at least MIN_PURITY of its texts toxic, and a likelihood ratio that
 #: chance gives to none of all candidates with the probability 1 - CHANCE. LEXICON entries at most.
 MIN_DOCS, MIN_PURITY, CHANCE, LEXICON = 3, 0.95, 0.05, 20_000
-#: Texts of one family (copies, near copies) show a word after the same words. So that they do not count many times,
-#: a word's toxic texts are at most as many as the words before it; those are told apart by CONTEXTS hash values.
+#: Both classes are counted in distinct texts. Texts of one family (near copies) show a word after the same words. So that
+#: they do not count many times, a word's toxic texts are at most as many as the words before it, told apart by CONTEXTS
+#: hash values; its clean texts are scaled by the same factor, which leaves its purity that of the texts.
 CONTEXTS = 62
 PREDICT_AT = 0.7
 CACHED = 300_000
@@ -306,6 +307,7 @@ def train(labelled: DataFrame, texts: DataFrame, *, text_col: str = "text", labe
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), (F.col(f"`{label_col}`").cast("int") == 1).alias("toxic")).where("text IS NOT NULL AND toxic IS NOT NULL")
+    rows = rows.withColumn("th", F.xxhash64("text")).dropDuplicates(["th", "toxic"]).select("text", "toxic")  # copies are one text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,6 +325,7 @@ def train(labelled: DataFrame, texts: DataFrame, *, text_col: str = "text", labe
     # as many words before as the hash values that were seen tell
     told = F.when(F.col("seen") < CONTEXTS, F.round(-CONTEXTS * F.log(1 - F.col("seen") / CONTEXTS))).otherwise(F.col("all"))
     counts = counts.withColumn("a", F.when(F.col("feature") == "", F.col("all")).otherwise(F.least(F.col("all").cast("double"), told)).cast("double"))
+    counts = counts.withColumn("b", F.col("b") * F.col("a") / F.col("all"))
     counts = materialize(counts.where(F.col("a") >= MIN_DOCS), "lexicon")
     totals = counts.where("feature = ''").first()
     n1, n0 = (totals["a"], totals["b"]) if totals else (0, 0)
