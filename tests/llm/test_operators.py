@@ -449,6 +449,17 @@ def test_purity_is_a_share_of_distinct_texts(spark):
     assert {"grobian$", "halunke$"} <= set(toxicity.train(df := spark.createDataFrame(data, "text string, toxic int"), df).lexicon)
 
 
+def test_the_lexicon_holds_all_that_pass(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(7500)]
+    data = []
+    for _ in range(12):
+        rng.shuffle(words)
+        data += [(" ".join(words[i : i + 300]), 1) for i in range(0, 7500, 300)]
+    df = spark.createDataFrame(data + [(f"clean text {i}", 0) for i in range(1200)], "text string, toxic int")
+    assert len(toxicity.train(df, df).lexicon) > 20_000
+
+
 def test_toxicity_of_odd_tables(docs, empty, toxic_model):
     out = toxicity.score(docs, toxic_model[0])
     assert out.count() == docs.count() and out.where("score IS NULL OR score < 0 OR score > 1 OR predicted <> 0").count() == 0

@@ -57,8 +57,8 @@ SUBSTITUTE, DROP, SHORTEN, KEEP = 1.0, 0.5, 0.5, 6.0
 #: Word beginnings that are features, beside words of up to LONGEST letters.
 PREFIXES, LONGEST = (4, 5, 6, 7), 20
 #: An entry: in at least MIN_DOCS toxic texts, at least MIN_PURITY of its texts toxic, and a likelihood ratio that
-#: chance gives to none of all candidates with the probability 1 - CHANCE. LEXICON entries at most.
-MIN_DOCS, MIN_PURITY, CHANCE, LEXICON = 3, 0.95, 0.05, 20_000
+#: chance gives to none of all candidates with the probability 1 - CHANCE. All that pass are kept: labelled rows bound them.
+MIN_DOCS, MIN_PURITY, CHANCE = 3, 0.95, 0.05
 #: Both classes are counted in distinct texts. Texts of one family (near copies) show a word after the same words. So that
 #: they do not count many times, a word's toxic texts are at most as many as the words before it, told apart by CONTEXTS
 #: hash values; its clean texts are scaled by the same factor, which leaves its purity that of the texts.
@@ -302,7 +302,7 @@ def character_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
 def train(labelled: DataFrame, texts: DataFrame, *, text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from all labelled rows (text, label 0 or 1; rows with nulls do not count) and the characters of all texts.
 
-    The lexicon holds the LEXICON entries of the largest likelihood ratios at most.
+    The lexicon holds all entries that pass.
     """
     spark = labelled.sparkSession
     small_batches(spark)
@@ -340,7 +340,7 @@ def train(labelled: DataFrame, texts: DataFrame, *, text_col: str = "text", labe
         g2 = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)))
         least = NormalDist().inv_cdf(1 - CHANCE / (2 * max(1, counts.count()))) ** 2
         pure = counts.where("feature <> ''").where(a >= MIN_PURITY * (a + b)).withColumn("g2", g2).where(F.col("g2") > least)
-        for r in pure.orderBy(F.desc("g2"), "feature").limit(LEXICON).collect():
+        for r in pure.orderBy("feature").collect():
             lexicon[r["feature"]] = (r["a"] + 0.5) / (r["a"] + r["b"] + 1)
     prior = 0.5 * (n1 + 0.5) / (n1 + n0 + 1)
     return Model(lexicon, prior, CharacterModel(character_counts(texts, text_col)))
@@ -356,7 +356,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """df with score and predicted (columns of these names are replaced). Null and empty texts have the prior as score."""
     small_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast((model.lexicon, model.prior, model.characters.cost.astype(np.float32)))  # LEXICON entries and 64**3 costs at most
+    held = df.sparkSession.sparkContext.broadcast((model.lexicon, model.prior, model.characters.cost.astype(np.float32)))  # an entry for each that passed, and 64**3 costs
     made: list[Model] = []
 
     @F.arrow_udf("double")
