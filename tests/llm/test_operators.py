@@ -204,12 +204,6 @@ def test_quality_of_odd_tables(docs, empty):
 # --- 4 line dedup ------------------------------------------------------------------------------------
 
 
-def test_units_are_the_text():
-    for t in (r[1] or "" for r in rows()):
-        pieces, normal, counts = line_dedup.units(t.encode())
-        assert b"".join(pieces) == t.encode() and len(normal) == len(counts) and sum(counts) == len(t.encode().split())
-
-
 def test_winnowing_guarantee():
     rng = random.Random(2)
     for w in (2, 3, 5):
@@ -251,6 +245,48 @@ def test_a_passage_goes_whatever_occurrences_its_parts_have(spark):
     assert out[5] == data[2][1] and out[9] == "Nine. nine." and out[10] == "la " * 25
 
 
+def deduped(data, min_words):
+    """The words that stay of each id's text; ids occur once, but for repeated rows."""
+    first, out = {}, {}
+    for i, text in sorted(set(data), key=lambda r: (r[0] is None, r[0] or 0)):
+        words, gone = text.split(), set()
+        for s in range(len(words) - min_words + 1):
+            at = first.setdefault(tuple(w.lower() for w in words[s : s + min_words]), (i, s))
+            if at[0] != i or s >= at[1] + min_words:
+                gone |= set(range(s, s + min_words))
+        out[i] = [w for j, w in enumerate(words) if j not in gone]
+    return out
+
+
+@pytest.mark.parametrize(("gram_words", "min_words", "batch"), [(10, 25, 1024), (10, 25, 3), (3, 8, 2), (5, 5, 5)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, gram_words, min_words, batch):
+    from veilgauge.llm import _common
+
+    monkeypatch.setattr(_common, "BATCH_ROWS", batch)
+    rng = random.Random(batch)
+    vocabulary = [f"w{i}" for i in range(40)]
+    shared = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 60))] for _ in range(12)]
+    data = []
+    for i in range(150):
+        t = []
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.random()
+            if kind < 0.5:
+                t += rng.choice(shared)
+            elif kind < 0.6:
+                t += [rng.choice(vocabulary)] * rng.randint(1, 70)
+            elif kind < 0.7:
+                t += vocabulary[:3] * rng.randint(1, 30)
+            else:
+                t += [rng.choice(vocabulary) + "x" * rng.choice([0, 0, 7, 90]) for _ in range(rng.randint(1, 40))]
+        data.append((i or None, " ".join(t)))
+    want = deduped(data, min_words)
+    df = spark.createDataFrame(data + data[5:8], "doc_id long, text string").repartition(7)
+    out = line_dedup.line_dedup(df, gram_words=gram_words, min_words=min_words).collect()
+    assert len(out) == len(data) + 3 and all(r.text.split() == want[r.doc_id] for r in out)
+    assert sum(map(len, want.values())) < sum(len(t.split()) for _, t in data) / 2
+
+
 def test_line_dedup_of_odd_tables(docs, empty):
     out = line_dedup.line_dedup(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and line_dedup.line_dedup(empty).count() == 0

@@ -1,46 +1,46 @@
 """Line dedup: winnowing over hashes of word runs, and removal of later repeated runs.
 
-At each word a gram of ``gram_words`` words starts, hashed in normal form, and a run of ``min_words``
-words, which holds ``min_words - gram_words + 1`` grams. Of those the one with the least hash is the
-run's fingerprint (the last of equals). Equal runs have equal fingerprints, so only runs whose
-fingerprint occurs again can be repeated, and fingerprints are few. Those runs are hashed whole, and a
-run is repeated if the same run stands before it, in the order of (id, hash of the text, position), in
-whatever text. What repeated runs cover is deleted: exactly the words of all passages of ``min_words``
-words or more that stand in full somewhere earlier. The first occurrence of a run does not go with it.
+At each word a gram of ``gram_words`` words starts. Of the grams of a run of ``min_words`` words the one
+with the least hash is the run's fingerprint (the last of equals), so equal runs have equal fingerprints.
+Neighbouring runs share theirs: a fingerprint stands for a stretch of the text, its context.
+
+Fingerprints are joined by their grams. A context that stands in an earlier text is repeated whole. Where
+a gram has several contexts, a passage begins or ends inside them: there, and only there, the runs
+themselves are hashed and joined, which extends the match both ways, word by word. So exactly the words
+of all passages of ``min_words`` words or more that stand in full somewhere earlier, in one text, in the
+order of (id, hash of the text, position), are found, and are deleted. The first occurrence does not go.
+
+Before every exchange a batch settles what its own rows tell: of equal contexts, and of equal runs, one
+row is sent, so that a passage of very many texts is few rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, small_batches
 
-#: A unit ends with its terminators, line feeds among them, or before a capitalised word, so that a
-#: passage set into the middle of a sentence starts a unit too.
-_UNIT = re.compile(rb"(?:[^.!?\n \t]+|[ \t]+(?!(?:[A-Z]|\xc3[\x80-\x9e])))+[.!?\n]*|[.!?\n \t]+")
 GRAM_WORDS, MIN_WORDS = 10, 25
-_WORD = re.compile(rb"\S+")
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _digest(normal: bytes) -> int:
-    return xxhash.xxh64_intdigest(normal, 11)
-
-
-def units(text: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
-    """The pieces that the text is cut into, and of those with words the normal forms (A-Z lower-cased, words joined
-    by one space) and the numbers of words. Pieces without words belong to the unit before them.
-    """
-    pieces = _UNIT.findall(text)
-    words = [w for w in [p.split() for p in pieces] if w]
-    return pieces, [b" ".join(w).lower() for w in words], list(map(len, words))
+_SPACE = re.compile(rb"[ \t-\r]")
+#: Bytes and words that are hashed at a time, to stay in a core's cache.
+_BYTES, _WORDS = 1 << 17, 1 << 15
+_ODD, _ODDER = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG_WORD = 64
+_PLACE_BITS = 18
+_PLACE = np.uint64((1 << _PLACE_BITS) - 1)
+#: What is known of a context: it is sent alone, it is sent for several, it stands in an earlier text, its runs
+#: are to be compared, its text repeats it.
+ALONE, SEVERAL, COVERED, OPEN, AGAIN = range(5)
 
 
 def minima(hashes: list[int], window: int) -> list[int]:
@@ -56,98 +56,300 @@ def minima(hashes: list[int], window: int) -> list[int]:
     return chosen
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words, of the words' hashes."""
-    count = max(0, len(words) - n + 1)
-    out = np.zeros(count, np.uint64)
-    for k in range(n if count else 0):
-        out = out * _FACTOR + words[k : k + count]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(32)
-
-
-def runs_of(text: bytes, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the run at each word: the hash of its fingerprint, the fingerprint's position, and the hash of the whole run."""
-    tokens = text.lower().split()
-    if len(tokens) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = np.fromiter(map(_digest, tokens), np.uint64, len(tokens))
-    grams, whole = run_hashes(words, gram_words), run_hashes(words, min_words)
-    window = min_words - gram_words + 1
-    best = np.arange(len(whole)) + window - 1 - np.lib.stride_tricks.sliding_window_view(grams, window)[:, ::-1].argmin(axis=1)
-    return grams[best].view(np.int64), best, whole.view(np.int64)
-
-
-def later_runs(text: bytes, found: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Byte bounds of what the repeated runs cover, with the white space after it. found: their positions."""
-    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
-    covered: list[list[int]] = []
-    for i in sorted(found):
-        if covered and i <= covered[-1][1]:
-            covered[-1][1] = i + min_words
-        else:
-            covered.append([i, i + min_words])
-    return [(starts[a], starts[b]) for a, b in covered]
-
-
-def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
-    out, at = [], 0
-    for a, b in cuts:
-        out.append(text[at:a])
-        at = b
-    return b"".join([*out, text[at:]])
-
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ x >> np.uint64(32)
+    x *= _ODDER
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_ODD, 2 * _WORDS), _powers(pow(_ODD, -1, 1 << 64), 2 * _WORDS)
+
+
+def _sums(v: np.ndarray) -> np.ndarray:
+    """Running sums s of a polynomial: (s[b] - s[a]) * _DOWN[a] is the same wherever v[a:b] stands."""
+    out = np.zeros(len(v) + 1, np.uint64)
+    np.cumsum(v * _UP[: len(v)], out=out[1:])
+    return out
+
+
+def word_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the words [^\\x20\\x09-\\x0D]+ of bytes."""
+    word = np.zeros(len(data) + 2, bool)
+    np.greater(data - np.uint8(9), 4, out=word[1:-1])
+    word[1:-1] &= data != 32
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(low: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of bytes in lower case, of which the last 8 are white space."""
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    data, at, n = np.frombuffer(low, np.uint8), 0, len(low) - 8
+    while at < n:
+        cut = _SPACE.search(low, at + _BYTES) if at + _BYTES < n else None
+        stop = cut.start() if cut else n
+        s, e = word_starts(data[at:stop])
+        head = np.ndarray(stop - at + 1, "<u8", low, at, (1,))  # the 8 bytes at every place
+        size = e - s
+        h = (head[s] & _HEAD[np.minimum(size, 8)]) * np.uint64(_ODD)
+        more, k = np.flatnonzero(size > 8), 8
+        while len(more) and k < _LONG_WORD:
+            x = h[more]
+            x ^= x >> np.uint64(31)
+            x += head[s[more] + k] & _HEAD[np.minimum(size[more] - k, 8)]
+            x *= np.uint64(_ODD)
+            h[more] = x
+            k += 8
+            more = more[size[more] > k]
+        for i in more.tolist():
+            h[i] = xxhash.xxh64_intdigest(low[at + s[i] : at + e[i]], 11)
+        h += size.astype(np.uint64) * _ODDER
+        starts.append(s + at)
+        hashes.append(_mixed(h))
+        at = stop
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+@dataclass
+class Contexts:
+    """Fingerprints of a batch in order: the text, the first and last run that a fingerprint stands for, its place, gram and context."""
+
+    text: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    place: np.ndarray
+    gram: np.ndarray
+    context: np.ndarray
+
+
+class Batch:
+    """Texts as words: their hashes, and the number of the first word of each text."""
+
+    def __init__(self, texts: pa.Array):
+        raw = texts.cast(pa.binary()).fill_null(b"").to_pylist()
+        starts, self.words = word_hashes(b" ".join([*raw, b" " * 8]).lower())
+        ends = np.cumsum([0, *(len(t) + 1 for t in raw)])
+        self.first = np.searchsorted(starts, ends)
+
+    def contexts(self, gram_words: int, min_words: int) -> Contexts:
+        n = len(self.words)
+        count = np.diff(self.first)
+        text = np.repeat(np.arange(len(count)), count)
+        end = np.repeat(self.first[1:], count)
+        window = min_words - gram_words + 1
+        found: list[tuple] = []
+        for at in range(0, n, _WORDS):
+            v = self.words[at : at + _WORDS + min_words - 1]
+            runs = len(v) - min_words + 1
+            if runs <= 0:
+                break
+            s = _sums(v)
+            gram = _mixed((s[gram_words:] - s[:-gram_words]) * _DOWN[: len(v) - gram_words + 1])
+            # the place in the low bits: the last of equals is the least, and is known by its value
+            best = gram & ~_PLACE | _PLACE - np.arange(len(gram), dtype=np.uint64)
+            done = 1
+            while done < window:
+                step = min(done, window - done)
+                best = np.minimum(best[:-step], best[step:])
+                done += step
+            run = np.flatnonzero(end[at : at + runs] - np.arange(at, at + runs) >= min_words)
+            if not len(run):
+                continue
+            place = int(_PLACE) - (best[run] & _PLACE).astype(np.int64)
+            new = np.flatnonzero(np.diff(place, prepend=-1))
+            low, high, place = run[new], run[np.append(new[1:] - 1, len(run) - 1)], place[new]
+            own = (s[high + min_words] - s[low]) * _DOWN[low] + (place - low + 1).astype(np.uint64) * _ODDER
+            found.append((text[low + at], low + at, high + at, place + at, gram[place].view(np.int64), _mixed(_mixed(own)).view(np.int64)))
+        return Contexts(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else Contexts(*[np.zeros(0, np.int64)] * 6)
+
+    def run_hashes(self, at: np.ndarray, min_words: int) -> np.ndarray:
+        """Hashes of the runs that start at the words ``at``, ascending."""
+        out = np.zeros(len(at), np.uint64)
+        for a in range(0, len(self.words), _WORDS):
+            i, j = np.searchsorted(at, [a, a + _WORDS])
+            if i < j:
+                s = _sums(self.words[a : a + _WORDS + min_words])
+                x = at[i:j] - a
+                out[i:j] = (s[x + min_words] - s[x]) * _DOWN[x]
+        return _mixed(_mixed(out)).view(np.int64)
+
+
+def _ranks(b: pa.RecordBatch) -> np.ndarray:
+    """The place of each row's document, (id, th) with null ids last, among those of the batch; equal ones have one."""
+    null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+    key, th = b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy()
+    order = np.lexsort((th, key, null))
+    new = (np.diff(key[order], prepend=0) != 0) | (np.diff(th[order], prepend=0) != 0) | (np.diff(null[order].astype(int), prepend=0) != 0)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns is the first of its kind."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _context_rows(gram_words: int, min_words: int):
+    """(id, th, gram, context, state) of the contexts of each batch; of equal ones the first is sent, what is known of the others goes with them."""
 
-def _gram_rows(gram_words: int, min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, found = [], []
-            for t in b.column(2).cast(pa.binary()).to_pylist():
-                gram, place, _ = runs_of(t or b"", gram_words, min_words)
-                own = gram[np.flatnonzero(np.diff(place, prepend=-1))]
-                sizes.append(len(own))
-                found.append(own)
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["id", "th", "gram"])
+            c = Batch(b.column(2)).contexts(gram_words, min_words)
+            rank = _ranks(b)[c.text]
+            # by context, document and place: what a text repeats itself
+            order = np.lexsort((c.place, rank, c.context))
+            context, doc, place = c.context[order], rank[order], c.place[order]
+            first = _starts(context, doc)
+            lead = np.flatnonzero(first)
+            apart = place - place[lead][np.cumsum(first) - 1]
+            own = c.text[order] == c.text[order][lead][np.cumsum(first) - 1]  # a repeated row tells nothing
+            inner = own & (apart >= min_words)
+            overlapped = own & (apart > 0) & (apart < min_words)
+            again, touching = (np.unique((np.cumsum(first) - 1)[x]) for x in (inner, overlapped))
+            at = order[lead]
+            # by gram: the first document of each context is sent, once for a gram
+            leader = _starts(context[lead])
+            later = at[~leader]
+            head = at[leader]
+            head = head[np.lexsort((c.context[head], c.gram[head]))]
+            gram = c.gram[head]
+            top = _starts(gram)
+            several = np.bincount(np.cumsum(top) - 1) > 1
+            parts = [
+                (head[top], np.where(several, SEVERAL, ALONE)),
+                (head[~top], np.full((~top).sum(), OPEN)),
+                (later, np.full(len(later), COVERED)),
+                (at[touching], np.full(len(touching), OPEN)),
+                (at[again], np.full(len(again), AGAIN)),
+            ]
+            i = np.concatenate([p[0] for p in parts])
+            take = pa.array(c.text[i])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(c.gram[i]), pa.array(c.context[i]), pa.array(np.concatenate([p[1] for p in parts]).astype(np.int8))],
+                ["id", "th", "gram", "context", "state"],
+            )
 
     return rows
 
 
+def _joined(texts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of a batch's words, joined where they touch inside a text."""
+    if not len(starts):
+        return texts, starts, ends
+    order = np.lexsort((starts, texts))
+    texts, starts, ends = texts[order], starts[order], np.maximum.accumulate(ends[order])
+    new = np.ones(len(starts), bool)
+    new[1:] = (starts[1:] > ends[:-1]) | (texts[1:] != texts[:-1])
+    at = np.flatnonzero(new)
+    return texts[at], starts[at], ends[np.append(at[1:] - 1, len(ends) - 1)]
+
+
+def _member(b: pa.RecordBatch, column: int, c: Contexts) -> np.ndarray:
+    """Whether a context is in its own text's list."""
+    lists = b.column(column)
+    bounds = lists.offsets.to_numpy()
+    listed = lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(lists)), np.diff(bounds))
+    key = lambda text, context: _mixed(context.view(np.uint64) + text.astype(np.uint64) * np.uint64(_ODD))
+    return np.isin(key(c.text, c.context), key(owner, listed))
+
+
 def _run_rows(gram_words: int, min_words: int):
+    """(id, th, pos, span, run): stretches that are repeated, with their words (span), and runs to be compared (span 0)."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, places, runs = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for t, again in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3), strict=True):
-                gram, _, whole = runs_of(t or b"", gram_words, min_words)
-                pos = np.flatnonzero(np.isin(gram, again.values.to_numpy(zero_copy_only=False)))
-                sizes.append(len(pos))
-                places.append(pos)
-                runs.append(whole[pos])
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(runs))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "pos", "run"])
+            words = Batch(b.column(2))
+            c = words.contexts(gram_words, min_words)
+            covered, opened = _member(b, 3, c), _member(b, 4, c)
+            order = np.lexsort((c.place, c.text, c.context))
+            first = _starts(c.context[order], c.text[order])
+            apart = np.empty(len(order), np.int64)
+            apart[order] = c.place[order] - c.place[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+            covered |= apart >= min_words
+            opened &= ~covered
+            # the runs of open contexts; a batch's first of equals is sent
+            n = (c.high - c.low + 1)[opened]
+            at = np.repeat(c.low[opened], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            text = np.repeat(c.text[opened], n)
+            run = words.run_hashes(at, min_words)
+            rank = _ranks(b)[text]
+            order = np.lexsort((at, rank, run))
+            at, text, run, rank = at[order], text[order], run[order], rank[order]
+            first = _starts(run)
+            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+            known = (rank != rank[lead]) | ((text == text[lead]) & (at - at[lead] >= min_words))
+            spans = _joined(np.concatenate([c.text[covered], text[known]]), np.concatenate([c.low[covered], at[known]]), np.concatenate([c.high[covered], at[known]]) + min_words)
+            open_ = ~known
+            texts = np.concatenate([spans[0], text[open_]])
+            starts = np.concatenate([spans[1], at[open_]]) - words.first[texts]
+            size = np.concatenate([spans[2] - spans[1], np.zeros(open_.sum(), np.int64)])
+            runs = np.concatenate([np.zeros(len(spans[0]), np.int64), run[open_]])
+            take = pa.array(texts)
+            cols = [b.column(0).take(take), b.column(1).take(take), pa.array(starts.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(runs)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "pos", "span", "run"])
 
     return rows
 
 
-def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, found): for each text with repeated runs, the positions of those that stand earlier too."""
+def repeated_stretches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, found): for each text with repeated runs, the stretches (pos, span) of words that they cover."""
     small_batches(df.sparkSession)
     keyed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
-    marks = materialize(keyed.mapInArrow(_gram_rows(gram_words, min_words), "id long, th long, gram long"), "winnow")
-    repeated = materialize(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
-    again = marks.join(repeated, "gram").groupBy("id", "th").agg(F.collect_set("gram").alias("again"))
-    again = again.select(F.col("id").alias("a_id"), F.col("th").alias("a_th"), "again")
-    own = keyed.join(again, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))).select("id", "th", "text", "again")
-    runs = materialize(own.mapInArrow(_run_rows(gram_words, min_words), "id long, th long, pos int, run long"), "runs")
-    # Nulls come last in the order; repeated rows are one text, so a run of them alone is no repeat.
-    first = F.struct(F.col("id").isNull().alias("n"), "id", "th", "pos")
-    firsts = materialize(runs.groupBy("run").agg(F.min(first).alias("f"), F.count("*").alias("n")).where("n > 1").select("run", "f"), "first-runs")
+    contexts = keyed.mapInArrow(_context_rows(gram_words, min_words), "id long, th long, gram long, context long, state byte")
+    # what is settled passes by, under a group of its own
+    sent = F.col("state") <= SEVERAL
+    group = [sent.alias("sent"), "gram"]
+    doc = F.struct(F.col("id").isNull().alias("n"), "id", "th")
+    one, all_ = Window.partitionBy("sent", "gram", "context"), Window.partitionBy("sent", "gram")
+    compared = contexts.select("id", "th", "context", "state", *group).withColumn("first", F.min(doc).over(one))
+    compared = compared.withColumns({"several": (F.min("context").over(all_) != F.max("context").over(all_)) | (F.max("state").over(all_) == SEVERAL)})
+    mine = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    now = F.when(~F.col("sent"), F.col("state")).when(~mine, COVERED).when(F.col("several"), OPEN)
+    told = compared.select("id", "th", "context", now.alias("state")).where("state IS NOT NULL")
+    pick = lambda s: F.collect_set(F.when(F.col("state") == s, F.col("context")))
+    lists = told.groupBy("id", "th").agg(pick(COVERED).alias("covered"), pick(OPEN).alias("open")).select(F.col("id").alias("l_id"), F.col("th").alias("l_th"), "covered", "open")
+    own = keyed.join(lists, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))).select("id", "th", "text", "covered", "open")
+    rows = materialize(own.mapInArrow(_run_rows(gram_words, min_words), "id long, th long, pos int, span int, run long"), "runs")
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th", "pos")).over(Window.partitionBy("run"))
+    runs = rows.where("span = 0").withColumn("f", first)
     same = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
     # in the text of the first occurrence, a run that overlaps it would take a part of it
-    hit = runs.join(firsts, "run").where(~same | (F.col("pos") >= F.col("f.pos") + min_words))
-    return hit.groupBy("id", "th").agg(F.collect_set("pos").alias("found"))
+    hits = runs.where(~same | (F.col("pos") >= F.col("f.pos") + min_words)).select("id", "th", "pos", F.lit(min_words).alias("span"))
+    return rows.where("span > 0").drop("run").union(hits).groupBy("id", "th").agg(F.collect_set(F.struct("pos", "span")).alias("found"))
+
+
+def byte_cuts(text: bytes, stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte bounds of stretches of words, joined where they touch, with the white space after them."""
+    starts, _ = word_starts(np.frombuffer(text, np.uint8))
+    bounds = np.append(starts, len(text))
+    joined: list[list[int]] = []
+    for pos, span in sorted(stretches):
+        if joined and pos <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], pos + span)
+        else:
+            joined.append([pos, pos + span])
+    return [(int(bounds[a]), int(bounds[b])) for a, b in joined]
+
+
+def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
+    out, at = [], 0
+    for a, b in cuts:
+        out.append(text[at:a])
+        at = b
+    return b"".join([*out, text[at:]])
 
 
 def line_dedup(
@@ -164,10 +366,12 @@ def line_dedup(
 
     A text may become empty, as that of an exact copy does; what is left of it is not trimmed. Null
     texts stay null. Rows equal in id and text are one text: they get the same result, and one does
-    not repeat the other. Nulls among ids come last in the order. With report, the columns
-    removed_runs (int) and removed_chars (long) are added, or replaced.
+    not repeat the other. Nulls among ids come last in the order. An empty table has no rows. With
+    report, the columns removed_runs (int) and removed_chars (long) are added, or replaced.
     """
-    found = repeated_runs(df, id_col=id_col, text_col=text_col, gram_words=gram_words, min_words=min_words)
+    if not 1 <= gram_words <= min_words < _WORDS:
+        raise ValueError("a gram must fit into a run")
+    found = repeated_stretches(df, id_col=id_col, text_col=text_col, gram_words=gram_words, min_words=min_words)
     found = found.select(F.col("id").alias("__vg_id"), F.col("th").alias("__vg_th"), F.col("found").alias("__vg_found"))
     rows = df.withColumns({"__vg_i": F.col(f"`{id_col}`").cast("long"), "__vg_t": F.xxhash64(F.col(f"`{text_col}`"))})
     rows = rows.join(found, F.col("__vg_i").eqNullSafe(F.col("__vg_id")) & (F.col("__vg_t") == F.col("__vg_th")), "left")
@@ -175,8 +379,8 @@ def line_dedup(
     @F.arrow_udf("struct<text: string, runs: int>")
     def _cut(texts: pa.Array, founds: pa.Array) -> pa.Array:
         out, runs = [], []
-        for t, f in zip(texts.cast(pa.binary()).to_pylist(), founds.to_pylist(), strict=True):
-            cuts = later_runs(t, f, min_words) if f and t else []
+        for t, f in zip(texts.cast(pa.binary()).to_pylist(), founds, strict=True):
+            cuts = byte_cuts(t, list(zip(*(x.to_pylist() for x in f.values.flatten()), strict=True))) if t and f.is_valid else []
             out.append(without(t, cuts) if cuts else t)
             runs.append(len(cuts))
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(runs, pa.int32())], ["text", "runs"])
