@@ -453,26 +453,44 @@ def test_decoding_is_the_best_path():
     counts = np.bincount(toxicity._trigrams("the idiot met the idiot and the moron " * 50), minlength=64**3)
     m = toxicity.CharacterModel(counts)
     text = "1d1ot"
-    every = [(0.0, "", "")]
-    for _, _, letters, cost in toxicity.readings(text):
-        pass
     options = collections.defaultdict(list)
-    for a, b, letters, cost in toxicity.readings(text):
-        options[a].append((b, letters, cost))
+    for at, end, letters, cost in toxicity.readings(text):
+        options[at].append((end, letters, cost))
 
-    def paths(at, out, cost):
+    def paths(at, out, tail, cost):
         if at == len(text):
-            tail = out[-2:]
-            yield cost + m.of(tail[-2:-1], tail[-1:], " "), out
+            yield cost + m.step(tail, " ")[0], out
             return
-        for b, letters, c in options[at]:
-            total, s = cost + c, out
+        for end, letters, c in options[at]:
+            total, t = cost + c, tail
             for ch in letters:
-                total += m.of(s[-2:-1], s[-1:], ch)
-                s += ch
-            yield from paths(b, s, total)
-
-    assert toxicity.decode(text, m) == min(paths(0, "", 0.0))[1] == "idiot" and every
+                more, t = m.step(t, ch)
+                total += more
+            yield from paths(end, out + letters, t, total)
+
+    assert toxicity.decode(text, m) == min(paths(0, "", "", 0.0))[1] == "idiot"
+
+
+def test_skipped_lattices_cannot_change_a_score():
+    """Of a table of disguised words, glued with signs and split by spaces, the scores are those of decoding everything."""
+    prose = "the idiot met an old idiot and the moron said that no moron may read on in that dirt road to the moor so idle men do dig it out " * 30
+    characters = toxicity.CharacterModel(np.bincount(toxicity._trigrams(prose), minlength=64**3))
+    lexicon = {"idiot$": 0.9, "idio": 0.9, "moron$": 0.8, "moor$": 0.4}
+    quick, full = (toxicity.Model(lexicon, 0.1, characters, every=e) for e in (False, True))
+    found = ["1d1ot", "foo%1d1ot", "foo&1d1ot", "you?1d1ot", "x)1d1ot", "<b>1d1ot</b>", "said\u20141d1ot", "well,1d1ot", "you/1d1ot", "total-1d1ot", "id iot", "mo r on", "ii d ii o t", "i. d. i. o. t.", "i d i o t s", "m0 r0n!", 'he said "id iot"', "i - d - i - o - t", "a1d1ot.idiiiioot", "m@@ m-o-r-o-n", "2id iot2"]
+    other = ["id est", "i o u", "mo on", "the road", "r2d2 a b c", "more on that", "to do it", "- - - - i", "a a a a a a a", "i i i i i", "moo r", "!!! ... ???", "x" * 500, "i " * 60]
+    got, want = quick.scores(pa.array(found + other)), full.scores(pa.array(found + other))
+    assert np.allclose(got, want), [t for t, a, b in zip(found + other, got, want, strict=True) if abs(a - b) > 1e-9]
+    assert (got[: len(found)] > 0.7).all(), [t for t, x in zip(found, got, strict=False) if x <= 0.7]
+    assert (got[len(found) :] < 0.7).all(), [t for t, x in zip(other, got[len(found) :], strict=True) if x >= 0.7]
+    rng = random.Random(4)
+    letters = "idiotmrn  -.1!0%(s"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    got, want = quick.scores(pa.array(texts)), full.scores(pa.array(texts))
+    assert np.allclose(got, want), [t for t, a, b in zip(texts, got, want, strict=True) if abs(a - b) > 1e-9][:5]
+    assert (want > 0.1 + 1e-9).any()
+    assert quick.restored(" He is an  1d1ot, a mo r on so\n") == " He is an  idiot a moron so\n" and quick.restored(None) is None
+    assert quick.restored("") == "" and quick.restored("an OLD%1d1ot, id iot") == "an old%idiot idiot"
 
 
 def test_purity_is_a_share_of_distinct_texts(spark):
