@@ -28,9 +28,14 @@ def ship_package(spark: SparkSession | None = None) -> None:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that is an error, as machines do not share theirs.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilgauge-"))
         top = spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/veilgauge-{tag}-{uuid.uuid4().hex}"
