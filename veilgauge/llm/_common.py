@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path, ship_package
+
 #: Arrow batches hold at most this many rows and bytes, so that a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 #: A side of a join is broadcast only if its counted rows are at most this many (rows of under 100 bytes).
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilgauge-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/veilgauge-{tag}-{uuid.uuid4().hex}"
+    return shared_path(spark, tag)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -38,21 +29,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that Python workers need no path of their own."""
-    import veilgauge
-
-    sc = spark.sparkContext
-    if getattr(sc, "_veilgauge_shipped", False):
-        return
-    top = Path(veilgauge.__file__).parent
-    d = tempfile.mkdtemp(prefix="veilgauge-")  # the driver's own: executors fetch the file from the driver
-    atexit.register(shutil.rmtree, d, ignore_errors=True)
-    with zipfile.ZipFile(f"{d}/veilgauge.zip", "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(f"{d}/veilgauge.zip")
-    sc._veilgauge_shipped = True
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers outlive their tasks, and other stages need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function over the batches of a partition that gives memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        give_back()
+
+    return run
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches
+from ._common import materialize, small_batches, tidy
 
 TREES, LEAF_ROWS, SAMPLE_ROWS, RECALL, BLOCK_QUERIES = 24, 64, 40_000, 0.98, 4_096
 #: Queries of the sample that are walked to the end.
@@ -190,7 +190,7 @@ def nearest(
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, len(forest), dtype=np.int32)), pa.array(at.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["cid", "v", "leaves"])
 
-    index = materialize(classes.select("cid", "v").mapInArrow(place, "cid long, v array<double>, leaves array<int>"), "forest")
+    index = materialize(classes.select("cid", "v").mapInArrow(tidy(place), "cid long, v array<double>, leaves array<int>"), "forest")
     sizes = np.zeros(first_leaf[-1], np.int64)
     for leaf, n in index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # as many rows as leaves
         sizes[leaf] = n
@@ -213,7 +213,7 @@ def nearest(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["cid", "v", "bits"])
 
     wanted = classes.join(asked.select("cid").distinct(), "cid").select("cid", "v")
-    walked = materialize(wanted.repartition(F.xxhash64("cid")).mapInArrow(walks, "cid long, v array<double>, bits binary"), "walks")
+    walked = materialize(wanted.repartition(F.xxhash64("cid")).mapInArrow(tidy(walks), "cid long, v array<double>, bits binary"), "walks")
     blocks = max(1, -(-walked.count() // block_queries))
     tops = []
     for block in range(blocks):
@@ -249,7 +249,7 @@ def nearest(
             if best is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["qid", "cid", "score"])
 
-        scored = index.mapInArrow(rerank, "qid long, cid long, score double")
+        scored = index.mapInArrow(tidy(rerank), "qid long, cid long, score double")
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
         tops.append(materialize(scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "reranked"))
     found = tops[0]

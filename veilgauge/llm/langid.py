@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches
+from ._common import materialize, small_batches, tidy
 
 GRAM, SLOT_BITS, HASHES = 4, 19, 3
 MIN_COUNT, MIN_SHARE = 2, 0.1
@@ -109,7 +109,7 @@ def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> M
             codes, n = held.pop(lang)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    seen = materialize(rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
+    seen = materialize(rows.mapInArrow(tidy(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
     totals = seen.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")

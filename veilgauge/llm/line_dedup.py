@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches
+from ._common import materialize, small_batches, tidy
 
 GRAM_WORDS, MIN_WORDS = 10, 25
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -308,7 +308,7 @@ def repeated_stretches(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, th, found): for each text with repeated runs, the stretches (pos, span) of words that they cover."""
     small_batches(df.sparkSession)
     keyed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
-    contexts = keyed.mapInArrow(_context_rows(gram_words, min_words), "id long, th long, gram long, context long, state byte")
+    contexts = keyed.mapInArrow(tidy(_context_rows(gram_words, min_words)), "id long, th long, gram long, context long, state byte")
     # what is settled passes by, under a group of its own
     sent = F.col("state") <= SEVERAL
     group = [sent.alias("sent"), "gram"]
@@ -322,7 +322,7 @@ def repeated_stretches(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pick = lambda s: F.collect_set(F.when(F.col("state") == s, F.col("context")))
     lists = told.groupBy("id", "th").agg(pick(COVERED).alias("covered"), pick(OPEN).alias("open")).select(F.col("id").alias("l_id"), F.col("th").alias("l_th"), "covered", "open")
     own = keyed.join(lists, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))).select("id", "th", "text", "covered", "open")
-    rows = materialize(own.mapInArrow(_run_rows(gram_words, min_words), "id long, th long, pos int, span int, run long"), "runs")
+    rows = materialize(own.mapInArrow(tidy(_run_rows(gram_words, min_words)), "id long, th long, pos int, span int, run long"), "runs")
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th", "pos")).over(Window.partitionBy("run"))
     runs = rows.where("span = 0").withColumn("f", first)
     same = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))

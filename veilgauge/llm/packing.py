@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches, small_enough
+from ._common import materialize, small_batches, small_enough, tidy
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: Words and pre-tokens whose ids a worker remembers; beyond, it starts afresh.
@@ -296,7 +296,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windo
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    cut = docs.mapInArrow(_cut_documents(tokenizer, window), _PIECES).withColumn("pid", F.monotonically_increasing_id())
+    cut = docs.mapInArrow(tidy(_cut_documents(tokenizer, window)), _PIECES).withColumn("pid", F.monotonically_increasing_id())
     pieces = materialize(cut.withColumn("part", F.shiftright("pid", 33)), "pieces")
     # the number of a piece among those of its length: those of earlier partitions, and those before it in its own
     counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
@@ -334,4 +334,4 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windo
             kind = pa.schema([(c, pa.int64()) for c in [*names, "sequence_id", "offset"]])
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return whole.unionByName(halves.mapInArrow(_split, ", ".join(f"{c} long" for c in [*names, "sequence_id", "offset"])))
+    return whole.unionByName(halves.mapInArrow(tidy(_split), ", ".join(f"{c} long" for c in [*names, "sequence_id", "offset"])))

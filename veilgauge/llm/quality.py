@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, materialize, small_batches, small_enough
+from ._common import BROADCAST_ROWS, materialize, small_batches, small_enough, tidy
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -98,7 +98,7 @@ def features(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     """A materialised table of the measures of every row, with the row's number rid and its lines."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
-    return materialize(rows.mapInArrow(_features, _FEATURES).withColumn("rid", F.monotonically_increasing_id()), "quality")
+    return materialize(rows.mapInArrow(tidy(_features), _FEATURES).withColumn("rid", F.monotonically_increasing_id()), "quality")
 
 
 def template_lines(rows: DataFrame, *, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:

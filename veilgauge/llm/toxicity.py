@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches, small_enough
+from ._common import materialize, small_batches, small_enough, tidy
 
 #: The letters that a sign may stand for.
 LEET = {
@@ -447,7 +447,7 @@ def character_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["code", "n"])
 
     out = np.zeros(_CLASSES**3, np.int64)
-    for code, n in df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n")).collect():
+    for code, n in df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(count), "code long, n long").groupBy("code").agg(F.sum("n")).collect():
         out[code] = n
     return out
 
@@ -470,7 +470,7 @@ def train(labelled: DataFrame, texts: DataFrame, *, text_col: str = "text", labe
             cols = [np.append(c, x).astype(np.int64) for c, x in zip(cols, (toxic.sum(), (~toxic).sum(), 0), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([*words, ""], pa.string()), *map(pa.array, cols)], ["word", "toxic", "clean", "contexts"])
 
-    words = rows.mapInArrow(count, "word string, toxic long, clean long, contexts long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
+    words = rows.mapInArrow(tidy(count), "word string, toxic long, clean long, contexts long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
     # a beginning has the texts of all words that begin so; one that no toxic text has is no candidate
     word = F.col("word")
     names = F.array_compact(F.array(F.when(word == "", word), F.when(word != "", F.concat(word, F.lit("$"))), *[F.when(F.length(word) >= n, F.substring(word, 1, n)) for n in PREFIXES]))

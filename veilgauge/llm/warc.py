@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, new_path, small_batches, small_enough
+from ._common import materialize, new_path, small_batches, small_enough, tidy
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 100
@@ -129,7 +129,7 @@ def write_archives(records: DataFrame, folder: str | None = None, archive_bytes:
                 out.close()
 
     wanted = records.select("page_id", "url", "html", "digest", "kind", "refers_to")
-    return materialize(wanted.mapInArrow(write, _INDEX), "warc-index")
+    return materialize(wanted.mapInArrow(tidy(write), _INDEX), "warc-index")
 
 
 def coalesced(ranges: list[tuple[int, int]], most: int = RANGE_BYTES, gap: int = GAP_BYTES) -> list[tuple[int, int, list[int]]]:
@@ -186,7 +186,7 @@ def read_records(index: DataFrame, *, payloads: bool = True, most: int = RANGE_B
 
     stretch = F.shiftright("offset", 25)
     dealt = index.withColumn("__vg_s", stretch).repartition("archive", "__vg_s").sortWithinPartitions("archive", "offset").drop("__vg_s")
-    return dealt.mapInArrow(read, _READ)
+    return dealt.mapInArrow(tidy(read), _READ)
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
