@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilgauge.llm import ann, components, langid, line_dedup, mixing, packing, quality, sharding, similar, simhash, toxicity, warc
+from veilgauge.llm import ann, components, langid, line_dedup, mixing, packing, quality, queries, sharding, similar, simhash, toxicity, warc
 
 from .conftest import rows
 
@@ -623,6 +623,49 @@ def test_neighbours_against_brute_force(spark):
     assert {x for x in got if x[0] == 310} == {x for x in want if x[0] == 310}
 
 
+def test_a_leaf_is_multiplied_with_its_own_queries_only():
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 24))
+    x = np.concatenate([c + 0.25 * rng.standard_normal((50, 24)) for c in centres])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    forest = [ann.grow(unit, 32, np.random.default_rng([1, t])) for t in range(8)]
+    start = np.concatenate([[0], np.cumsum([t.leaves for t in forest])])
+    leaves = np.stack([start[t] + tree.leaf_of(unit) for t, tree in enumerate(forest)], axis=1)
+    enough = ann.probe_share(forest, unit, 5, 0.98) * len(x)
+    sizes = np.bincount(leaves.ravel(), minlength=start[-1])
+    taken, asked = [], np.arange(0, len(x), 50)
+    for q in asked:
+        own, got = [], 0
+        for t, leaf in ann.walk(forest, unit[q]):
+            own.append(int(start[t]) + leaf)
+            got += sizes[own[-1]]
+            if got >= enough:
+                break
+        taken.append(np.array(own))
+    search = ann.Search(x[asked], *ann.by_leaf(taken, int(start[-1])), keep=12)
+    for at in range(0, len(x), 700):
+        search.add(np.arange(len(x))[at : at + 700], x[at : at + 700], leaves[at : at + 700])
+    assert search.products == sum(int(sizes[t].sum()) for t in taken) <= 0.2 * len(x) * len(asked)
+    full = unit[asked] @ unit.T
+    query, cid, _ = search.best
+    hits = sum(len(set(np.argsort(-full[i])[:6].tolist()) & set(cid[query == i].tolist())) for i in range(len(asked)))
+    assert hits >= 0.95 * 6 * len(asked)
+
+
+def test_registered_neighbours_reach_the_recall(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.standard_normal(24).astype(np.float32).tolist() for i in range(3000)}
+    vectors[100] = [2 * x for x in vectors[50]]
+    vectors[101] = [8 * x for x in vectors[50]]
+    spark.createDataFrame([(i, v, 0) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.op10_nearest_neighbours(spark, str(tmp_path)).collect()
+    want = nearest_by_force(vectors, 50, 5)
+    assert len(got) == len(want) and len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
+    for r in got:
+        a, b = (np.array(vectors[i], float) for i in (r.query_id, r.vec_id))
+        assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
+
+
 def test_few_and_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], kind)).count() == 0

@@ -10,10 +10,10 @@ enough rows. How many are enough is measured: queries of the sample are walked t
 share of rows is taken at which ``recall`` of their true neighbours have been met. Where vectors have
 no structure to find, that share is large, and rightly so.
 
-Query classes go in blocks of bounded size. A block's walks make a bit matrix, leaves by queries, that
-is sent to all tasks with the block's vectors; a class is a candidate of the queries whose bit is set
-in one of its leaves, and is reranked by the exact cosine in double precision. Each task returns the
-best few of each query, so that pairs are never written or exchanged.
+Query classes go in blocks of bounded size. A block is sent to all tasks with the list, for each leaf, of
+the queries whose walks took it. A task sorts its classes by leaf, tree after tree, and multiplies a leaf's
+classes with that leaf's queries only; pairs are never written or exchanged, each task returns the best
+few of each query. Of these the exact cosine of the original vectors decides.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from ._common import materialize, small_batches, tidy
 
 TREES, LEAF_ROWS, SAMPLE_ROWS, RECALL, BLOCK_QUERIES = 24, 64, 40_000, 0.98, 4_096
+#: Classes that a task sorts by leaf at a time.
+CHUNK_ROWS = 16_384
 #: Queries of the sample that are walked to the end.
 MEASURED = 100
 
@@ -121,13 +123,86 @@ def probe_share(forest: list[Tree], x: np.ndarray, k: int, recall: float, measur
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64) if len(column) else np.zeros((0, 0))
+    """Lists of one length, without nulls, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+class Search:
+    """The best few classes of each of a block's queries, of the classes added so far.
+
+    members[first[leaf]:first[leaf + 1]]: the numbers of the queries whose walk took the leaf. products
+    counts the multiplications of vectors.
+    """
+
+    def __init__(self, queries: np.ndarray, first: np.ndarray, members: np.ndarray, keep: int):
+        self.queries, self.first, self.members, self.keep = _unit(queries), first, members, keep
+        self.least = np.full(len(queries), -np.inf)
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.products = 0
+
+    def add(self, cid: np.ndarray, y: np.ndarray, leaves: np.ndarray) -> None:
+        """leaves: of each row of y, one for each tree."""
+        y = _unit(y)
+        for own in leaves.T:
+            order = np.argsort(own, kind="stable")
+            cuts = np.flatnonzero(np.diff(own[order], prepend=-1, append=-1))
+            found = [self.best]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                leaf = own[order[a]]
+                asked = self.members[self.first[leaf] : self.first[leaf + 1]]
+                if not len(asked):
+                    continue
+                rows = order[a:b]
+                score = self.queries[asked] @ y[rows].T
+                self.products += score.size
+                i, j = np.nonzero(score >= self.least[asked][:, None])
+                found.append((asked[i], cid[rows[j]], score[i, j]))
+            self._merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def _merge(self, query: np.ndarray, cid: np.ndarray, score: np.ndarray) -> None:
+        order = np.lexsort((cid, query))
+        query, cid, score = query[order], cid[order], score[order]
+        once = np.ones(len(query), bool)
+        once[1:] = (query[1:] != query[:-1]) | (cid[1:] != cid[:-1])
+        query, cid, score = query[once], cid[once], score[once]
+        order = np.lexsort((cid, -score.round(12), query))
+        query, cid, score = query[order], cid[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        # what ties with the last of the kept may have the smaller id
+        last = rank == self.keep - 1
+        self.least[query[last]] = score[last] - 1e-9
+        kept = rank < self.keep
+        self.best = (query[kept], cid[kept], score[kept])
+
+
+def by_leaf(leaves: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, members) as Search takes them, of the leaves of each query's walk."""
+    leaf = np.concatenate([np.zeros(0, np.int64), *leaves]).astype(np.int64)
+    query = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+    return np.concatenate(([0], np.cumsum(np.bincount(leaf, minlength=n)))), query[np.argsort(leaf, kind="stable")].astype(np.int32)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def exact_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows, taken in extended precision and rounded once, so that exact ties are ties."""
+    x, y = x.astype(np.longdouble), y.astype(np.longdouble)
+    return ((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))).astype(np.float64)
+
+
 def usable(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", dimension: int | None = None) -> DataFrame:
     """(vec_id, v) of the vectors that take part: not null, finite, not zero, of the dimension, with an id.
 
@@ -202,60 +277,50 @@ def nearest(
         for b in batches:
             out = []
             for y in _unit(_matrix(b.column(1))) if b.num_rows else []:
-                bits, got = np.zeros(len(held.value), np.uint8), 0
+                taken, got = [], 0
                 for t, leaf in walk(forest, y):
-                    at = start[t] + leaf
-                    bits[at] = 1
+                    at = int(start[t]) + leaf
+                    taken.append(at)
                     got += int(held.value[at])
                     if got >= enough:
                         break
-                out.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["cid", "v", "bits"])
+                out.append(taken)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["cid", "v", "taken"])
 
     wanted = classes.join(asked.select("cid").distinct(), "cid").select("cid", "v")
-    walked = materialize(wanted.repartition(F.xxhash64("cid")).mapInArrow(tidy(walks), "cid long, v array<double>, bits binary"), "walks")
+    walked = materialize(wanted.repartition(F.xxhash64("cid")).mapInArrow(tidy(walks), "cid long, v array<double>, taken array<int>"), "walks")
     blocks = max(1, -(-walked.count() // block_queries))
+    keep = 2 * (k + 1)
     tops = []
     for block in range(blocks):
-        own = walked.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == block).toArrow()
-        qids, q = own["cid"].to_numpy(), _matrix(own["v"].combine_chunks())
-        lines = np.zeros((len(sizes), -(-len(qids) // 8)), np.uint8)  # leaves by queries
-        for i, bits in enumerate(own["bits"].to_pylist()):
-            lines[np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(sizes))), i // 8] |= 128 >> (i % 8)
-        queries = spark.sparkContext.broadcast((qids, q, lines))
+        own = walked.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        qids, taken = own["cid"].to_numpy(), [np.array(x, np.int64) for x in own["taken"].to_pylist()]
+        q = _matrix(own["v"].combine_chunks())
+        queries = spark.sparkContext.broadcast((qids, q, *by_leaf(taken, len(sizes))))
 
         def rerank(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
-            qids, q, lines = queries.value
-            norms = np.linalg.norm(q, axis=1) if len(qids) else np.zeros(0)
-            best = None  # query number, class, score: the k + 1 best of each query so far
-            for b in batches:
-                if not b.num_rows or not len(qids):
-                    continue
-                y = _matrix(b.column(1))
-                leaves = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
-                hits = np.zeros((b.num_rows, lines.shape[1]), np.uint8)
-                for t in range(leaves.shape[1]):
-                    hits |= lines[leaves[:, t]]
-                score = (q @ y.T) / (norms[:, None] * np.linalg.norm(y, axis=1)[None, :])
-                score[np.unpackbits(hits, axis=1, count=len(qids)).T == 0] = -np.inf
-                least = np.partition(score, -min(k + 1, b.num_rows), axis=1)[:, -min(k + 1, b.num_rows)]
-                at, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                new = (at, b.column(0).to_numpy()[col], score[at, col])
-                best = new if best is None else tuple(np.concatenate(z) for z in zip(best, new, strict=True))
-                order = np.lexsort((best[1], -best[2], best[0]))
-                best = tuple(z[order] for z in best)
-                rank = np.arange(len(order)) - np.searchsorted(best[0], best[0])
-                best = tuple(z[rank <= k] for z in best)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["qid", "cid", "score"])
+            qids, q, first, members = queries.value
+            if not len(qids):
+                return
+            search = Search(q, first, members, keep)
+            for rows in _chunks(batches, CHUNK_ROWS):
+                search.add(rows["cid"].to_numpy(), _matrix(rows["v"].combine_chunks()), rows["leaves"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1))
+            query, cid, score = search.best
+            yield pa.RecordBatch.from_arrays([pa.array(qids[query]), pa.array(cid), pa.array(score)], ["qid", "cid", "score"])
 
         scored = index.mapInArrow(tidy(rerank), "qid long, cid long, score double")
-        order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-        tops.append(materialize(scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "reranked"))
+        order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "cid")
+        tops.append(materialize(scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).drop("n", "score"), "reranked"))
     found = tops[0]
     for top in tops[1:]:
         found = found.unionByName(top)
-    ids = found.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
+
+    @F.arrow_udf("double")
+    def _cosine(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(exact_cosine(_matrix(x), _matrix(y)) if len(x) else np.zeros(0))
+
+    both = found.join(classes.select("cid", "v", "ids"), "cid").join(wanted.select(F.col("cid").alias("qid"), F.col("v").alias("q")), "qid")
+    ids = both.withColumn("score", _cosine("q", "v")).select("qid", "score", F.explode("ids").alias("vec_id"))
     # k + 1 ids for each query class, then for each query without its own
     several = ids.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     each = asked.join(several, asked["cid"] == several["qid"]).where("query_id <> vec_id")
