@@ -1,5 +1,6 @@
 """The evaluation engine: alignment, judging, statistics, identifiers, gates with mutations, whole runs, stored runs."""
 
+import hashlib
 import json
 from math import comb
 
@@ -8,10 +9,10 @@ from pyspark.sql import functions as F
 
 from veilgauge.functions import identifiers, persons, rewrite, stats, text
 from veilgauge.operators import align, detect, gates, judge, score
-from veilgauge.plans import corpus, evaluate, results
+from veilgauge.plans import corpus, evaluate, maskers, results, surface
 from veilgauge.sources import cases as src
 
-COUNTS = {"create_order": (2, 2, 2), "verify_identity": (1, 2, 1), "refund": (1, 1, 1), "second_mention": (2, 2, 2), "decompose": (1, 2, 1)}
+COUNTS = {"create_order": (4, 2, 2), "verify_identity": (1, 2, 1), "refund": (1, 1, 1), "second_mention": (2, 2, 2), "decompose": (1, 2, 1)}
 
 
 @pytest.fixture(scope="session")
@@ -77,7 +78,8 @@ def test_rewrite_ratio():
 def test_edit_script_covers_both_texts():
     for a, b in (("", ""), ("abc", ""), ("", "abc"), ("один два три", "два три четыре"), ("aXbXc", "aYbYc")):
         at, bt = 0, 0
-        for changed, a1, a2, b1, b2 in align.Script(a, b).stretches:
+        script = align.Script(a, b)
+        for changed, a1, a2, b1, b2 in zip(script.changed, script.at, script.at[1:], script.to, script.to[1:]):
             assert (a1, b1) == (at, bt) and (changed or a[a1:a2] == b[b1:b2])
             at, bt = a2, b2
         assert (at, bt) == (len(a), len(b))
@@ -202,7 +204,7 @@ def test_assembly(spark):
     r = spark.range(1).select(a.alias("a")).first()["a"]
     assert r.text == "ab-ab" and [(s.key, s.start, s.end) for s in r.spans] == [("x", 0, 2), ("y", 3, 5)] and r.ok
     assert spark.range(1).select(corpus.assemble(F.array(corpus._slot("x", "a"), corpus._slot("x", "b")))["ok"].alias("o")).first()["o"] is False
-    assert corpus.allocate(10, {"a": 0.55, "b": 0.45}) == {"a": 6, "b": 4}
+    assert corpus.allocate(18) == {"common": 8, "tail": 6, "diminutive": 2, "foreign": 2} and corpus.allocate(10, {"a": 55, "b": 45}) == {"a": 6, "b": 4}
 
 
 # --- whole runs ------------------------------------------------------------------------------------------
@@ -223,7 +225,9 @@ def test_naive_masker_leaves_a_mark(cases, naive):
     items, negs, kinds = naive
     assert gates.unmarked(items, kinds).count() == 0
     lines = hits(*naive)
-    assert 0 < lines["leak"][0] < lines["leak"][1] and items.where("altered AND NOT round_trip AND family <> 'decompose'").count() == 0 and lines["overmask"][0] == lines["overmask"][1]
+    assert 0 < lines["leak"][0] < lines["leak"][1] and items.where("altered AND NOT round_trip AND family <> 'decompose'").count() == 0
+    # dates of documents look like dates of birth; nothing else that is no personal value is touched
+    assert negs.where("touched").select("kind").distinct().collect() == [("doc_date",)] and lines["overmask"][0] == negs.where("NOT touched").count()
     assert kinds.where("stability IS NOT NULL").count() == 6 and kinds.where("NOT stability OR error IS NOT NULL OR NOT arguments_parse").count() == 0
     rows = {r.axis: r for r in score.by_axis(items, {"register": "register", "tier": "tier"}).collect()}
     assert set(rows) == {"register", "tier"}
@@ -231,15 +235,103 @@ def test_naive_masker_leaves_a_mark(cases, naive):
 
 def test_an_error_ends_the_replay(cases):
     def failing(c):
-        views = evaluate.noop(c)
-        return views.withColumn("error", F.when((F.col("case_id").startswith("second_mention")) & (F.col("request_turn") == 2), "mask failed"))
+        views = maskers.noop(c)
+        return views.withColumn("error", F.when((F.col("case_id").startswith("second_mention")) & (F.col("request_turn") == 3), "mask failed"))
 
-    items, _, kinds = evaluate.evaluate(cases, failing, "copier")
+    items, _, kinds = evaluate.evaluate(cases, maskers.Masker("failing", failing), "copier")
     bad = kinds.where("error IS NOT NULL")
     assert bad.count() == 6 and bad.where("call_made").count() == 0
     assert items.where("case_id LIKE 'second%' AND round_trip IS NOT NULL").count() == 0
 
 
+def test_a_call_that_cannot_be_restored_counts(cases):
+    def broken(calls):
+        return calls.select("case_id", F.lit(None).cast("string").alias("restored"), F.lit("restore failed: x").alias("error"))
+
+    items, _, kinds = evaluate.evaluate(cases, maskers.Masker("broken", maskers.placeholder_regex, broken), "copier")
+    assert kinds.where("call_made AND NOT arguments_parse AND error LIKE 'restore failed%'").count() == kinds.count()
+    judged = items.where("tool_param IS NOT NULL AND NOT shared_block")
+    assert judged.where("round_trip").count() == 0 and judged.where("round_trip IS NULL").count() == 0
+
+
+def _found(text):
+    import re
+
+    shapes = (("PHONE_NUMBER", r"\+7[ \d()-]{10,}\d"), ("CREDIT_CARD", r"\d{4} \d{4} \d{4} \d{4}"))
+    return [(m.start(), m.end(), kind) for kind, shape in shapes for m in re.finditer(shape, text)]
+
+
+def _scanners(pairs):
+    def anonymize(text):
+        for s, e, _ in sorted(_found(text), reverse=True):
+            token = next((t for t, v in pairs if v == text[s:e]), None) or f"[X{len(pairs)}]"
+            if (token, text[s:e]) not in pairs:
+                pairs.append((token, text[s:e]))
+            text = text[:s] + token + text[e:]
+        return text
+
+    def deanonymize(text):
+        for token, value in pairs:
+            text = text.replace(token, value)
+        return text
+
+    return anonymize, deanonymize
+
+
+def _hidden(text):
+    """A service without memory: values are shown as their digits in reverse, between marks."""
+    for s, e, _ in sorted(_found(text), reverse=True):
+        text = text[:s] + "{" + text[s:e][::-1] + "}" + text[e:]
+    return text
+
+
+def _shown(text):
+    import re
+
+    return re.sub(r"\{([^{}\"]*)\}", lambda m: m.group(1)[::-1], text)
+
+
+def _post(path, payload):
+    if path == "/mask":
+        return {"messages": [m | {"content": _hidden(m["content"])} for m in payload["messages"]]}
+    if path == "/unmask_arguments":
+        return {"arguments": [payload["arguments"][0][0] + _shown(payload["arguments"][0][1:-1]) + payload["arguments"][0][-1]]}
+    raise RuntimeError("no such call")
+
+
+def _send(payload, model):
+    answer = model([m | {"content": _hidden(m["content"])} for m in payload["messages"]])
+    for call in answer.get("tool_calls") or []:
+        a = call["function"]["arguments"]
+        call["function"]["arguments"] = a[0] + _shown(a[1:-1]) + a[-1]
+    return {"choices": [{"message": answer}]}
+
+
+def test_all_ways_to_a_masker_measure_the_same(cases):
+    """An engine, scanners, a service and a proxy that find the same values have the same lines."""
+    made = [maskers.build("entity_engine", analyze=_found), maskers.build("vault_scanners", scanners=_scanners), maskers.build("service", post=_post), maskers.build("proxy", send=_send)]
+    some = cases.where("family IN ('refund', 'create_order', 'second_mention')")
+    found = [{k: v for k, v in hits(*evaluate.evaluate(some, m, "copier")).items() if k not in ("typed", "consistency", "stability")} for m in made]
+    assert found[0] == found[1] == found[2] == found[3] and 0 < found[0]["leak"][0] < found[0]["leak"][1] and found[0]["round_trip"][0] == found[0]["round_trip"][1] > 0
+    views = made[0].views(some)
+    assert {s.type for r in views.where("spans IS NOT NULL").collect() for s in r.spans} == {"PHONE", "CARD"} and made[2].views(some).where("spans IS NOT NULL").count() == 0
+
+
+def test_the_registry_fails_loudly():
+    assert maskers.build("noop").name == "noop" and maskers.build("service", post=_post, name="mine", org_id="o").config == {"org_id": "o"}
+    for name, options in (("unheard", {}), ("entity_engine", {}), ("proxy", {"post": _post})):
+        with pytest.raises(ValueError, match="known are|needs"):
+            maskers.build(name, **options)
+
+
+def test_failures_of_sessions_are_data(cases):
+    def post(path, payload):
+        raise RuntimeError("503")
+
+    kinds = evaluate.evaluate(cases.where("family = 'refund'"), maskers.build("service", post=post), "copier")[2].collect()
+    assert kinds and all(r.error == "mask failed: 503" and not r.call_made for r in kinds)
+
+
 def test_the_rewriter_is_owed_its_own_notation(cases):
     items, _, _ = evaluate.evaluate(cases, "noop", "rewriter")
     phones = items.where("type = 'PHONE' AND delivered IS NOT NULL").collect()
@@ -269,6 +361,10 @@ def test_each_defect_is_found(cases, rule, change):
 
 def test_stored_runs(spark, cases, naive, tmp_path):
     digest = results.corpus_digest(cases).first()["digest"]
+    by_hand = hashlib.sha256()
+    for r in sorted(cases.collect(), key=lambda r: r.id):
+        by_hand.update("".join([r.id, *(m.content for m in r.messages if m.role == "user")]).encode())
+    assert digest == by_hand.hexdigest()[:16]
     assert digest == results.corpus_digest(cases.repartition(5)).first()["digest"] != results.corpus_digest(cases.limit(3)).first()["digest"]
     for system, at, d in (("naive", "2026-01-01T00:00:00Z", digest), ("naive", "2026-01-02T00:00:00Z", digest), ("other", "2026-01-01T00:00:00Z", digest), ("old", "2026-01-01T00:00:00Z", "x")):
         run = results.run_file(*naive, {"system": system, "policy": "copier", "seed": 0, "corpus_digest": d, "corpus_cases": cases.count(), "run_at": at})
@@ -285,6 +381,15 @@ def test_stored_runs(spark, cases, naive, tmp_path):
     table = results.markdown(lines)
     assert table.count("| naive |") == 1 and "leak" in table and "—" not in table.split("consistency")[0]
     assert "leak:" in results.report(spark, *naive)
+    text = results.leaderboard(runs, cases)
+    assert "| errors |" in text and "naive / other" in text and "- old: corpus `x`" in text and results.AGENTS["copier"] in text
+    one_run = runs.where("manifest.system = 'other'")
+    worse = one_run.withColumn("observations", F.transform("observations", lambda o: o.withField("consistency", F.lit(False))))
+    fresh = results.rescored(worse, cases).first()
+    assert fresh["rescored"]["benchmark_version"] == results.VERSION
+    told = {o["case_id"]: o["consistency"] for o in fresh["observations"]}
+    judged = {r.case_id: r.consistency for r in naive[2].collect()}
+    assert all(told[k] == v for k, v in judged.items() if v is not None)
     assert gates.stale(runs.select("manifest.*"), digest).count() == 1
 
 

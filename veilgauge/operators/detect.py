@@ -33,6 +33,10 @@ FOREIGN = (
 )
 
 SPAN = "struct<start: int, end: int, type: string, value: string, rank: int>"
+_FOUND = "struct<start: int, end: int, type: string, value: string>"
+#: What a text must hold for a pattern to match: dear patterns are not tried on texts that lack it.
+_CYRILLIC = "[А-Яа-яЁё]"
+GUARDS = {dict(RUSSIAN)["EMAIL"]: "@", dict(RUSSIAN)["NAME"]: _CYRILLIC, dict(RUSSIAN)["ADDRESS"]: _CYRILLIC}
 
 
 def _java(pattern: str) -> str:
@@ -40,34 +44,62 @@ def _java(pattern: str) -> str:
     return pattern.replace("(?i)", "(?iu)")
 
 
-def matches(text: Column, kind: str, pattern: str, rank: int) -> Column:
-    """All matches as spans. Their offsets follow from the gaps between them, which a split on the pattern gives."""
+def found(text: Column, kind: str, pattern: str) -> Column:
+    """All matches (start, end, type, value). Their offsets follow from the gaps between them, which a split on the pattern gives."""
     p = F.lit(f"({_java(pattern)})")
     values = F.regexp_extract_all(text, p, F.lit(1))
     gaps = F.split(text, _java(pattern), -1)
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_FOUND}>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("type"), pair["value"].alias("value"), F.lit(rank).alias("rank"))
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("type"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
     # most rows have no match: a look is cheaper than the fold
-    return F.when(F.size(values) > 0, F.aggregate(pairs, seed, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    every = F.when(F.size(values) > 0, F.aggregate(pairs, seed, step, lambda acc: acc["out"]))
+    if guard := GUARDS.get(pattern):
+        every = F.when(F.contains(text, F.lit(guard)) if len(guard) == 1 else text.rlike(guard), every)
+    return F.coalesce(every, F.array().cast(f"array<{_FOUND}>"))
 
 
-def claims(text: Column, patterns: tuple = RUSSIAN) -> Column:
-    """The claimed spans in the order of the claims."""
-    found = F.concat(*[matches(text, kind, p, rank) for rank, (kind, p) in enumerate(patterns)])
+def matches(text: Column, kind: str, pattern: str, rank: int) -> Column:
+    """All matches as spans."""
+    return _ranked(found(text, kind, pattern), rank)
+
+
+def _ranked(c: Column, rank: int) -> Column:
+    return F.transform(c, lambda m: F.struct(m["start"], m["end"], m["type"], m["value"], F.lit(rank).alias("rank")))
+
+
+def claimed(candidates: Column) -> Column:
+    """Of spans in the order of their patterns those that overlap no earlier claim."""
     none = F.array().cast(f"array<{SPAN}>")
 
     def claim(taken: Column, m: Column) -> Column:
         free = ~F.exists(taken, lambda t: (m["end"] > t["start"]) & (m["start"] < t["end"]))
         return F.when(free, F.concat(taken, F.array(m))).otherwise(taken)
 
-    return F.when(text.isNull(), none).otherwise(F.aggregate(found, none, claim))
+    return F.aggregate(candidates, none, claim)
+
+
+def claims(text: Column, patterns: tuple = RUSSIAN) -> Column:
+    """The claimed spans in the order of the claims."""
+    every = F.concat(*[matches(text, kind, p, rank) for rank, (kind, p) in enumerate(patterns)])
+    return F.when(text.isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(claimed(every))
+
+
+def with_claims(df: DataFrame, text_col: str, **detectors: tuple) -> DataFrame:
+    """df with a column of claims for each detector. A pattern that several of them have runs once over a text."""
+    text = F.col(f"`{text_col}`")
+    unique = dict.fromkeys(p for patterns in detectors.values() for p in patterns)
+    names = {p: f"__vg_found_{i}" for i, p in enumerate(unique)}
+    out = df.withColumns({n: found(text, *p) for p, n in names.items()})
+    none = F.array().cast(f"array<{SPAN}>")
+    made = {k: F.when(text.isNull(), none).otherwise(claimed(F.concat(*[_ranked(F.col(names[p]), i) for i, p in enumerate(patterns)]))) for k, patterns in detectors.items()}
+    return out.withColumns(made).drop(*names.values())
 
 
 def spans(claimed: Column) -> Column:

@@ -7,58 +7,15 @@ Everything is keyed by the case, so that a run is as parallel as its corpus; a c
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, rewrite
 from ..operators import align, detect, judge
+from ..session import stored
 from ..sources import cases as src
-
-ACK = "Принято."
-Masker = Callable[[DataFrame], DataFrame]
-
-
-def _vaultless(df: DataFrame) -> DataFrame:
-    return df.withColumn("vault", F.array().cast(f"array<{detect.TOKEN}>"))
-
-
-def noop(cases: DataFrame) -> DataFrame:
-    """The identity masker: (case_id, request_turn, turn, masked, spans, vault, error)."""
-    shown = _requests(cases).select("case_id", "request_turn", "turn", F.col("content").alias("masked"))
-    return _vaultless(shown.withColumn("spans", F.lit(None).cast(f"array<{detect.SPAN}>"))).withColumn("error", F.lit(None).cast("string"))
-
-
-def placeholder_regex(cases: DataFrame, patterns: tuple = detect.RUSSIAN) -> DataFrame:
-    """Placeholders from ordered patterns; one vault for the whole conversation, values numbered as first seen."""
-    m = src.messages(cases).withColumn("claims", detect.claims(F.col("content"), patterns))
-    whole = m.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("turn", "claims"))).alias("c"))
-    known = whole.select("case_id", detect.vault(F.flatten(F.transform("c", lambda x: x["claims"]))).alias("vault"))
-    both = m.join(known, "case_id")
-    tokens = F.transform("claims", lambda c: F.filter("vault", lambda v: v["value"] == c["value"])[0])
-    masked = both.withColumns({"masked": detect.mask_everywhere(F.col("content"), tokens), "spans": detect.spans(F.col("claims"))})
-    return masked.select("case_id", "turn", "masked", "spans", "vault").join(_requests(cases).select("case_id", "request_turn", "turn"), ["case_id", "turn"]).withColumn("error", F.lit(None).cast("string"))
-
-
-def external(cases: DataFrame, mask: Callable, schema: str = "case_id string, request_turn int, turn int, masked string, error string") -> DataFrame:
-    """A masker outside Spark: mask(iterator of pandas frames of requests) yields frames of schema, one connection a partition.
-
-    Errors are data: the function catches them and fills error. It gives no spans and restores through its own vault column,
-    if its schema has one.
-    """
-    shown = _requests(cases).repartition("case_id").sortWithinPartitions("case_id", "request_turn", "turn").mapInPandas(mask, schema)
-    out = shown if "vault" in shown.columns else _vaultless(shown)
-    return out.withColumn("spans", F.lit(None).cast(f"array<{detect.SPAN}>"))
-
-
-MASKERS: dict[str, Masker] = {"noop": noop, "placeholder_regex": placeholder_regex}
-
-
-def _requests(cases: DataFrame) -> DataFrame:
-    """A row per request and message shown in it."""
-    p = src.prefixes(cases).select(F.col("id").alias("case_id"), "request_turn", F.posexplode("prefix").alias("turn", "m"))
-    return p.select("case_id", "request_turn", "turn", "m.role", "m.content")
+from . import maskers
+from .maskers import Masker
 
 
 def _merge(maps: Column) -> Column:
@@ -71,9 +28,12 @@ def _merge(maps: Column) -> Column:
 def evaluate(cases: DataFrame, masker: str | Masker = "placeholder_regex", policy: str = "copier", *, pivot: int = 26, seed: int = 0, cities: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, negatives, cases) observations of one masker and agent.
 
-    pivot: the last two digits of the year up to which short years are in this century.
+    masker: one that maskers.build() made, or a name of one that needs nothing. pivot: the last two digits of the year up
+    to which short years are in this century. cities: words of cities, which do not count when they lead an address.
+    A call that could not be restored was made: its items are false, not unmeasured.
     """
-    views = (MASKERS[masker] if isinstance(masker, str) else masker)(cases)
+    masker = maskers.build(masker) if isinstance(masker, str) else masker
+    views = stored(masker.views(cases), "views")
     users = cases.select(F.col("id").alias("case_id"), src.user_turns("messages").alias("u")).select("case_id", F.element_at("u", 1).alias("first_user"), F.element_at("u", -1).alias("last_user"))
     gold = src.gold_items(cases)
     negs = src.negatives(cases)
@@ -93,9 +53,10 @@ def evaluate(cases: DataFrame, masker: str | Masker = "placeholder_regex", polic
         none = F.array().cast("array<struct<start: int, end: int>>")
         return F.coalesce(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), none)
 
-    aligned = shown.withColumn("a", align.align(F.col("content"), F.col("masked"), pairs("item_spans"), F.concat(pairs("item_spans"), pairs("neg_spans"))))
-    aligned = aligned.withColumn("n", align.align(F.col("content"), F.col("masked"), pairs("neg_spans"), F.array().cast("array<struct<start: int, end: int>>")))
-    aligned = aligned.select("case_id", "request_turn", "turn", "role", "spans", "item_spans", "neg_spans", F.col("a.together").alias("together"), F.col("a.alone").alias("alone"), F.col("a.ratio").alias("ratio"), F.col("n.together").alias("neg_together"), F.col("n.alone").alias("neg_alone"))
+    groups = F.array(pairs("item_spans"), pairs("neg_spans"))
+    aligned = shown.withColumn("a", align.align(F.col("content"), F.col("masked"), groups, F.flatten(groups)))
+    seen_by = {n: F.col("a.groups")[i][k] for n, i, k in (("together", 0, "together"), ("alone", 0, "alone"), ("neg_together", 1, "together"), ("neg_alone", 1, "alone"))}
+    aligned = stored(aligned.select("case_id", "request_turn", "turn", "role", "spans", "item_spans", "neg_spans", *[c.alias(n) for n, c in seen_by.items()], F.col("a.ratio").alias("ratio")), "aligned")
 
     zipped = aligned.where("item_spans IS NOT NULL AND together IS NOT NULL").select("case_id", "request_turn", "turn", "spans", F.explode(F.arrays_zip("item_spans", "together", "alone")).alias("z"))
     seen = zipped.select("case_id", "request_turn", "turn", "spans", F.col("z.item_spans.item_id").alias("item_id"), F.col("z.item_spans.start").alias("s"), F.col("z.item_spans.end").alias("e"), "z.together", "z.alone")
@@ -123,7 +84,11 @@ def evaluate(cases: DataFrame, masker: str | Masker = "placeholder_regex", polic
     whole = F.when(F.col("alone").isNotNull() & F.col("tool_param").isNotNull(), F.array(F.struct(F.col("tool_param").alias("key"), styled.alias("value"))))
     part_text = rewrite.rewrite(F.col("type"), text, pivot) if policy == "rewriter" else text
     entries = F.when(has_parts & F.col("alone").isNotNull(), F.map_entries(cut(F.col("type"), part_text))).otherwise(whole)
-    said = item.withColumn("entries", entries).groupBy("case_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "entries"))), lambda x: F.coalesce(x["entries"], F.array().cast("array<struct<key: string, value: string>>")))).alias("said"))
+    # of a part that several items own, the first one's counts; a whole value's last
+    first_owner = Window.partitionBy("case_id", "key", "cut").orderBy("ord")
+    owned = item.withColumns({"entries": entries, "cut": has_parts}).select("case_id", "ord", "cut", F.explode("entries").alias("e")).select("case_id", "ord", "cut", "e.key", "e.value")
+    owned = owned.withColumn("_k", F.row_number().over(first_owner)).where("_k = 1 OR NOT cut")
+    said = owned.groupBy("case_id", "ord").agg(F.collect_list(F.struct("key", "value")).alias("entries")).groupBy("case_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "entries"))), lambda x: F.coalesce(x["entries"], F.array().cast("array<struct<key: string, value: string>>")))).alias("said"))
 
     request = aligned.join(users, "case_id").where("request_turn = last_user")
     neg_rows = aligned.where("neg_spans IS NOT NULL AND neg_together IS NOT NULL").select("case_id", "request_turn", "turn", F.explode(F.arrays_zip("neg_spans", "neg_together", "neg_alone")).alias("z"))
@@ -133,7 +98,7 @@ def evaluate(cases: DataFrame, masker: str | Masker = "placeholder_regex", polic
     reached = request.select("case_id").distinct().withColumn("call_made", F.lit(True))
     keys = views.groupBy("case_id").agg(F.max_by("vault", "request_turn").alias("vault"))
 
-    base = cases.select(F.col("id").alias("case_id"), "family", "register", "subcase", F.col("hard").isNotNull().alias("hard"), "expected_call").join(bad, "case_id", "left")
+    base = cases.select(F.col("id").alias("case_id"), "family", "register", "subcase", F.col("hard").isNotNull().alias("hard"), "expected_call").join(bad, "case_id", "left").join(users.select("case_id", "last_user"), "case_id", "left")
     call = base.join(said, "case_id", "left").join(plain, "case_id", "left").join(reached, "case_id", "left").join(keys, "case_id", "left")
     call = call.withColumn("call_made", F.coalesce("call_made", F.lit(False)) & F.col("e").isNull())
     none = F.array().cast("array<struct<key: string, value: string>>")
@@ -144,7 +109,14 @@ def evaluate(cases: DataFrame, masker: str | Masker = "placeholder_regex", polic
 
     others = F.transform(F.coalesce(F.map_entries("expected_call.plain_params"), none), lambda x: F.struct(x["key"].alias("key"), as_shown(x["value"]).alias("value")))
     arguments = F.to_json(_merge(F.concat(wanted, others)))
-    call = call.withColumn("restored", F.when(F.col("call_made"), detect.restore(arguments, F.coalesce("vault", F.array().cast(f"array<{detect.TOKEN}>")))))
+    call = call.withColumns({"arguments": F.when(F.col("call_made"), arguments), "vault": F.coalesce("vault", F.array().cast(f"array<{detect.TOKEN}>"))})
+    if masker.restore is None:
+        call = call.withColumn("restored", detect.restore(F.col("arguments"), F.col("vault")))
+    else:
+        call = stored(call, "calls")
+        back = masker.restore(call.where("arguments IS NOT NULL")).select("case_id", "restored", F.col("error").alias("restore_error"))
+        call = call.join(back, "case_id", "left")
+        call = call.withColumn("e", F.coalesce("e", F.when(F.col("restore_error").isNotNull(), F.struct(F.col("last_user").alias("request_turn"), F.col("restore_error").alias("error"))))).drop("restore_error")
     call = call.withColumn("delivered_map", detect.arguments(F.col("restored"))).withColumn("arguments_parse", F.col("call_made") & F.col("delivered_map").isNotNull())
 
     # verdicts

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import identifiers, persons, rewrite, stats, text
 from ..operators import detect, gates, judge, score
-from ..session import shared_path
+from ..session import shared_path, spread
 from ..sources import cases as src
-from . import corpus, documents, evaluate, results
+from ..sources import pools
+from ..sources.pools import SMALL
+from . import corpus, documents, evaluate, results, surface
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 # --- SQL of detection ------------------------------------------------------------------
@@ -43,6 +46,11 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_N = lambda x: f"trim(regexp_replace(translate(lower({x}), 'ё', 'е'), '\\s+', ' ', 'g'))"
+_D = lambda x: f"regexp_replace({x}, '[^0-9]', '', 'g')"
+_NUM = lambda x: f"regexp_matches(regexp_replace({x}, '[ \\-()+.,\\t ]', '', 'g'), '^[0-9]+$')"
+
+
 def sql_claims(name: str, patterns: tuple, table: str = "documents", column: str = "text") -> str:
     """CTEs that end in {name}(doc_id, rank, type, value, start, end): candidates pattern by pattern, those that overlap earlier claims dropped."""
     out = []
@@ -130,7 +138,9 @@ def mask_documents(spark, sf_dir):
 @query(f"WITH RECURSIVE {_MASKED},\n{sql_claims('a', detect.RUSSIAN, 'masked', 't')}\nSELECT coalesce(c.type, a.type) AS type, coalesce(c.n, 0) AS before, coalesce(a.n, 0) AS after FROM (SELECT type, count(*) AS n FROM c GROUP BY type) c FULL JOIN (SELECT type, count(*) AS n FROM a GROUP BY type) a ON a.type = c.type")
 def residual_leak(spark, sf_dir):
     d = detect.detect(_docs(spark, sf_dir), "text").withColumn("t", detect.mask_everywhere(F.col("text"), F.col("vault")))
-    both = d.select(F.explode(F.concat(F.transform("claims", lambda c: F.struct(c["type"].alias("type"), F.lit(1).alias("b"), F.lit(0).alias("a"))), F.transform(detect.claims(F.col("t")), lambda c: F.struct(c["type"].alias("type"), F.lit(0).alias("b"), F.lit(1).alias("a"))))).alias("x"))
+    # a text without claims is its masked text
+    after = F.when(F.size("claims") > 0, detect.claims(F.col("t"))).otherwise(F.col("claims"))
+    both = d.select(F.explode(F.concat(F.transform("claims", lambda c: F.struct(c["type"].alias("type"), F.lit(1).alias("b"), F.lit(0).alias("a"))), F.transform(after, lambda c: F.struct(c["type"].alias("type"), F.lit(0).alias("b"), F.lit(1).alias("a"))))).alias("x"))
     return both.groupBy("x.type").agg(F.sum("x.b").alias("before"), F.sum("x.a").alias("after"))
 
 
@@ -156,12 +166,8 @@ def luhn_of_card_runs(spark, sf_dir):
 
 @query(f'WITH {_OBS} SELECT doc_id, start, type, altered, typed_as FROM obs')
 def interval_overlap_join(spark, sf_dir):
-    """Gold spans joined with the masker's as rows: an equi-join on the document with an overlap condition; the first span counts."""
-    d = _docs(spark, sf_dir)
-    g, m = documents.gold(d).alias("g"), documents.masker_spans(d, detect.RUSSIAN).alias("m")
-    meets = (F.col("g.doc_id") == F.col("m.doc_id")) & (F.col("m.start") < F.col("g.end")) & (F.col("g.start") < F.col("m.end"))
-    both = g.join(m, meets, "left").groupBy("g.doc_id", "g.start", "g.type")
-    return both.agg((F.count("m.start") > 0).alias("altered"), F.min_by("m.type", "m.start").alias("typed_as"))
+    """Gold spans met by the masker's: both are of one text, so that the overlap is found in the row."""
+    return _obs(spark, sf_dir).select("doc_id", "start", "type", "altered", "typed_as")
 
 
 _OVERLAP_SQL = ",\n".join(sql_claims(f"z{k}", (p,)) for k, p in enumerate(detect.RUSSIAN))
@@ -227,7 +233,8 @@ _BOTH = detect.FOREIGN + detect.RUSSIAN
 
 @query(f"WITH {_OBS}, {sql_claims('e', _BOTH)}, {_observed('obs2', 'e')}, p AS (SELECT x.altered AS l, y.altered AS r FROM obs x JOIN obs2 y USING (doc_id, start) WHERE NOT x.negative) SELECT count(*) FILTER (l AND NOT r) AS b, count(*) FILTER (r AND NOT l) AS c, count(*) AS shared FROM p")
 def paired_detectors(spark, sf_dir):
-    return score.paired(_obs(spark, sf_dir).where("NOT negative"), _obs(spark, sf_dir, _BOTH).where("NOT negative"), "leak")
+    both = documents.paired(_docs(spark, sf_dir), detect.RUSSIAN, _BOTH)
+    return both.agg(F.count_if(F.col("left") & ~F.col("right")).alias("b"), F.count_if(F.col("right") & ~F.col("left")).alias("c"), F.count("*").alias("shared"))
 
 
 @query("WITH p(b, c) AS (VALUES (0, 0), (5, 5), (10, 0), (3, 9), (1, 14), (40, 22)) SELECT b, c, round(least(1.0, CASE WHEN b + c = 0 THEN 1.0 ELSE 2 * list_sum(list_transform(generate_series(0, least(b, c)), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) END), 9) AS p FROM p")
@@ -257,7 +264,7 @@ def transcript_prefixes(spark, sf_dir):
     return p.select("id", "request_turn", F.size("prefix").alias("shown"), chars.alias("chars"))
 
 
-@query("WITH u AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations), h AS (SELECT conv_id AS id, sha256(conv_id || coalesce(string_agg(CASE WHEN role = 'user' THEN text END, '' ORDER BY i), '')) AS h FROM u GROUP BY conv_id), c AS (SELECT substr(h, 1, 2) AS cell, sha256(string_agg(h, '' ORDER BY id)) AS h FROM h GROUP BY 1) SELECT substr(sha256(string_agg(h, '' ORDER BY cell)), 1, 16) AS digest FROM c")
+@query("WITH u AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations), h AS (SELECT conv_id::VARCHAR AS id, conv_id || coalesce(string_agg(CASE WHEN role = 'user' THEN text END, '' ORDER BY i), '') AS t FROM u GROUP BY conv_id) SELECT substr(sha256(string_agg(t, '' ORDER BY id)), 1, 16) AS digest FROM h")
 def corpus_digest(spark, sf_dir):
     return results.corpus_digest(_transcripts(spark, sf_dir))
 
@@ -286,19 +293,84 @@ def latest_run_per_system(spark, sf_dir):
     return results.latest(e, "system", "policy")
 
 
-@query("WITH o AS (SELECT event_type AS system, user_id, bool_or(value > 50) AS ok FROM events GROUP BY ALL) SELECT a.system AS left_system, b.system AS right_system, count(*) FILTER (a.ok AND NOT b.ok) AS b, count(*) FILTER (b.ok AND NOT a.ok) AS c, count(*) AS shared FROM o a JOIN o b ON a.user_id = b.user_id AND a.system < b.system GROUP BY ALL")
-def system_pairs(spark, sf_dir):
-    o = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("system"), "user_id").agg(F.bool_or(F.col("value") > 50).alias("ok"))
-    a, b = o.alias("a"), o.alias("b")
-    both = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.system") < F.col("b.system")))
-    return both.groupBy(F.col("a.system").alias("left_system"), F.col("b.system").alias("right_system")).agg(F.count_if(F.col("a.ok") & ~F.col("b.ok")).alias("b"), F.count_if(F.col("b.ok") & ~F.col("a.ok")).alias("c"), F.count("*").alias("shared"))
+def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.format_string("8-907-%07d", "c_custkey").alias("c_phone"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored runs of four systems over the customers as cases, a NAME and a PHONE each; what came back depends on the key."""
+    c = _phones(spark, sf_dir)
+    k = F.col("c_custkey")
+    systems = F.array(*[F.struct(F.lit(n).alias("system"), F.lit(i).alias("s")) for i, n in enumerate("ABCD", 2)])
+    c = c.select("*", F.explode(systems).alias("y")).select("*", "y.system", "y.s")
+    altered = (k * 7 + F.col("s")) % F.col("s") != 0
+
+    def item(n: int, kind: str, identity: str, hit, substitute, delivered, verdict):
+        values = {"case_id": k.cast("string"), "item_id": F.lit(f"p{n}"), "type": F.lit(kind), "register": F.lit("clean"), "family": F.lit("second_mention"), "identity": F.lit(identity), "turn": F.lit(n), "tool_param": F.lit(kind.lower()), "altered": hit, "covered": hit, "substitute": substitute, "delivered": delivered, "round_trip": verdict, "normalised": F.lit(False), "shared_block": F.lit(False)}
+        return F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.ITEM_OBS.fields])
+
+    phone = F.when(k % 4 == 0, F.col("c_phone")).when(k % 4 == 1, F.translate("c_phone", "-", " ")).when(k % 4 == 2, F.concat("c_phone", F.lit("1")))
+    again = F.when(k % 3 == 0, F.upper("c_name")).when(k % 3 == 1, F.concat(F.lit("  "), F.col("c_name"))).otherwise(F.lit("<NAME_9>"))
+    items = F.array(item(1, "NAME", "person1", altered, F.col("c_name"), F.lit(None), F.lit(None)), item(2, "NAME", "person1", (k + F.col("s")) % 2 == 0, again, F.lit(None), F.lit(None)), item(3, "PHONE", "person1", altered, F.lit("<PHONE_1>"), phone, (k + F.col("s")) % 3 == 0))
+    case = {"case_id": k.cast("string"), "family": F.lit("second_mention"), "register": F.lit("clean"), "call_made": F.lit(True), "arguments_parse": F.lit(True), "rewrite_ratio": F.lit(0.0), "hard": F.lit(False), "consistency": k % 5 == 0, "items": items}
+    each = c.select("system", F.struct(*[case.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.CASE_OBS.fields]).alias("o"))
+    head = {"system": F.col("system"), "policy": F.lit("copier"), "run_at": F.lit("2026-01-01"), "corpus_digest": F.when(F.col("system") == "D", "old").otherwise("now")}
+    manifest = F.struct(*[head.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.MANIFEST.fields])
+    run = F.struct(*[F.lit(0).cast(f.dataType).alias(f.name) for f in schema.RUN.fields])
+    return each.groupBy("system").agg(F.collect_list("o").alias("observations")).select(manifest.alias("manifest"), run.alias("run"), "observations", F.lit("").alias("path"))
+
+
+def _gold_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("map<string,string>")
+    return _phones(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("case_id"), F.lit("p3").alias("item_id"), F.lit("PHONE").alias("type"), F.col("c_phone").alias("canonical"), none.alias("parts"))
+
+
+_RUN_SQL = """r AS (SELECT c_custkey AS k, c_name, '8-907-' || lpad(c_custkey::VARCHAR, 7, '0') AS c_phone, unnest([2, 3, 4, 5]) AS s FROM customer),
+it AS (SELECT *, chr((63 + s)::INTEGER) AS system, (k * 7 + s) % s <> 0 AS altered, (k + s) % 2 = 0 AS second, (k + s) % 3 = 0 AS recorded,
+  CASE k % 4 WHEN 0 THEN c_phone WHEN 1 THEN replace(c_phone, '-', ' ') WHEN 2 THEN c_phone || '1' END AS delivered,
+  CASE k % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN '  ' || c_name ELSE '<NAME_9>' END AS again FROM r)"""
+_JUDGED = f"CASE WHEN delivered IS NULL THEN recorded ELSE right({_D('delivered')}, 10) = right({_D('c_phone')}, 10) END"
+
+
+@query(f"WITH {_RUN_SQL} SELECT system, k::VARCHAR AS case_id, {_JUDGED} AS round_trip, false AS normalised FROM it")
+def rejudge_items(spark, sf_dir):
+    """Stored verdicts on phones, judged anew: what was delivered decides, and where nothing was, the record stays."""
+    items = src.item_observations(_runs(spark, sf_dir), "manifest.system").where("type = 'PHONE'")
+    return results.rejudge(items, _gold_phones(spark, sf_dir)).select("system", "case_id", "round_trip", "normalised")
+
 
+@query(f"WITH {_RUN_SQL} SELECT system, k::VARCHAR AS case_id, CASE WHEN altered OR second THEN altered AND second AND lower(trim(again)) = lower(c_name) ELSE k % 5 = 0 END AS consistency FROM it")
+def rejudge_consistency(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    cases, items = src.case_observations(runs, "manifest.system"), src.item_observations(runs, "manifest.system")
+    return results.rejudge_cases(cases, items, "system").select("system", "case_id", "consistency")
 
-@query("SELECT doc_id, quality, toxic, CASE WHEN toxic IS NULL THEN 'kept' WHEN toxic = 1 THEN 'judged toxic' ELSE 'judged clean' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
-def gold_lookup(spark, sf_dir):
-    """A left join on the key; a verdict is recomputed where gold is known and kept elsewhere."""
-    d = _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.withColumn("verdict", F.when(F.col("toxic").isNull(), "kept").when(F.col("toxic") == 1, "judged toxic").otherwise("judged clean"))
+
+_MCNEMAR = "round(least(1.0, CASE WHEN b + c = 0 THEN 1.0 ELSE 2 * list_sum(list_transform(generate_series(0::BIGINT, least(b, c)), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) END), 6)"
+
+
+@query(
+    f"WITH {_RUN_SQL}, o AS (SELECT system, k, 'leak' AS line, 1 AS n, altered AS ok FROM it UNION ALL SELECT system, k, 'leak', 2, second FROM it UNION ALL SELECT system, k, 'leak', 3, altered FROM it "
+    f"UNION ALL SELECT system, k, 'end_to_end', 3, {_JUDGED} FROM it), p AS (SELECT a.system AS \"left\", b.system AS \"right\", a.line, count(*) FILTER (a.ok AND NOT b.ok) AS b, count(*) FILTER (b.ok AND NOT a.ok) AS c, count(*) AS shared "
+    f"FROM o a JOIN o b ON a.k = b.k AND a.line = b.line AND a.n = b.n AND a.system < b.system WHERE b.system <> 'D' GROUP BY ALL) SELECT \"left\", \"right\", line, b, c, shared, {_MCNEMAR} AS p FROM p"
+)
+def board_pairs(spark, sf_dir):
+    """McNemar between the systems of a board; the run over another corpus takes no part."""
+    _, pairs, _ = results.board(_runs(spark, sf_dir), "now", _gold_phones(spark, sf_dir))
+    return pairs.withColumn("p", F.round("p", 6))
+
+
+_LINES_SQL = f"""i AS (SELECT system, altered AS hit, NULL::BOOLEAN AS ok FROM it UNION ALL SELECT system, second, NULL FROM it UNION ALL SELECT system, altered, {_JUDGED} FROM it),
+k AS (SELECT system, CASE WHEN altered OR second THEN altered AND second AND lower(trim(again)) = lower(c_name) ELSE k % 5 = 0 END AS same FROM it)"""
+
+
+@query(
+    f"WITH {_RUN_SQL}, {_LINES_SQL} SELECT * FROM (SELECT system, 'leak' AS line, count(*) FILTER (hit) AS hits, count(*) AS total FROM i GROUP BY 1 UNION ALL SELECT system, 'round_trip', count(*) FILTER (ok), count(*) FROM i WHERE hit AND ok IS NOT NULL GROUP BY 1 "
+    "UNION ALL SELECT system, 'end_to_end', count(*) FILTER (ok), count(*) FROM i WHERE ok IS NOT NULL GROUP BY 1 UNION ALL SELECT system, 'consistency', count(*) FILTER (same), count(*) FROM k GROUP BY 1) WHERE system <> 'D'"
+)
+def board_lines(spark, sf_dir):
+    lines, _, _ = results.board(_runs(spark, sf_dir), "now", _gold_phones(spark, sf_dir))
+    return lines.where("line IN ('leak', 'round_trip', 'end_to_end', 'consistency')").select("system", "line", "hits", "total")
 
 
 @query("SELECT doc_id, lang, 'only_left' AS side FROM (SELECT doc_id, lang FROM documents EXCEPT ALL SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END FROM documents WHERE doc_id % 11 <> 0) UNION ALL SELECT doc_id, lang, 'only_right' FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 11 <> 0 EXCEPT ALL SELECT doc_id, lang FROM documents)")
@@ -321,9 +393,6 @@ _PAIRS = [
     ("", "abc"), ("2200 1234 5678 9010", "2200123456789010"), ("123456", "12 34 56"), ("654321", "123456"), ("(907)1234567", "+79071234567"), ("Иван", "Иван "),
 ]
 _PAIR_SQL = ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(_PAIRS))
-_N = lambda x: f"trim(regexp_replace(translate(lower({x}), 'ё', 'е'), '\\s+', ' ', 'g'))"
-_D = lambda x: f"regexp_replace({x}, '[^0-9]', '', 'g')"
-_NUM = lambda x: f"regexp_matches(regexp_replace({x}, '[ \\-()+.,\\t ]', '', 'g'), '^[0-9]+$')"
 
 
 @query(
@@ -382,28 +451,114 @@ def assembled_spans(spark, sf_dir):
     return p.select("p_partkey", a.alias("a")).select("p_partkey", "a.text", brand["start"].cast("long").alias("brand_start"), brand["end"].cast("long").alias("brand_end"), "a.ok")
 
 
-@query("WITH p(family, register, rank, n) AS (VALUES " + ", ".join(f"('{f}', '{r}', {i}, {n})" for f, ns in corpus.PLAN.items() for i, (r, n) in enumerate(zip(corpus.REGISTERS, ns, strict=True))) + '), e AS (SELECT family, register, rank, unnest(generate_series(1, n))::INTEGER AS k FROM p) SELECT family, register, k, (row_number() OVER (PARTITION BY family ORDER BY rank, k) - 1)::INTEGER AS "index" FROM e')
+_SHARES = "s(tier, pos, share) AS (VALUES ('common', 1, 40), ('tail', 2, 30), ('diminutive', 3, 15), ('foreign', 4, 15))"
+_PLAN = """p(family, rank, register, n) AS (VALUES
+  ('create_order', 0, 'clean', 18), ('create_order', 1, 'chat', 22), ('create_order', 2, 'sloppy', 20), ('verify_identity', 0, 'clean', 16), ('verify_identity', 1, 'chat', 18), ('verify_identity', 2, 'sloppy', 16),
+  ('second_mention', 0, 'clean', 16), ('second_mention', 1, 'chat', 20), ('second_mention', 2, 'sloppy', 16), ('send_sms', 0, 'clean', 12), ('send_sms', 1, 'chat', 16), ('send_sms', 2, 'sloppy', 12),
+  ('check_status', 0, 'clean', 12), ('check_status', 1, 'chat', 14), ('check_status', 2, 'sloppy', 12), ('refund', 0, 'clean', 10), ('refund', 1, 'chat', 12), ('refund', 2, 'sloppy', 10),
+  ('decompose', 0, 'clean', 14), ('decompose', 1, 'chat', 16), ('decompose', 2, 'sloppy', 12))"""
+# whole percents, and what is left one by one to the largest shares; upto: the last rank of a tier
+_DEALT = "c AS (SELECT g.*, tier, pos, n * share // 100 AS base, n - sum(n * share // 100) OVER (PARTITION BY g.id) AS over_ FROM g, s), u AS (SELECT *, sum(base + (pos <= over_)::INTEGER) OVER (PARTITION BY id ORDER BY pos) AS upto FROM c)"
+
+
+@query(
+    f"WITH {_PLAN}, {_SHARES}, g AS (SELECT family || register AS id, n FROM p), {_DEALT}, e AS (SELECT *, unnest(generate_series(1, n))::INTEGER AS k FROM p) "
+    'SELECT family, register, k, (row_number() OVER (PARTITION BY family ORDER BY rank, k) - 1)::INTEGER AS "index", '
+    "CASE WHEN family IN ('check_status', 'refund') THEN 'common' ELSE (SELECT min_by(tier, pos) FROM u WHERE u.id = e.family || e.register AND u.upto >= e.k) END AS tier FROM e"
+)
 def plan_expansion(spark, sf_dir):
     return corpus.plan(spark)
 
 
-@query("WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey || ':' || c_mktsegment)) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, c_mktsegment, CASE WHEN r <= floor(n * 0.25::DOUBLE) THEN 'tail' WHEN r <= floor(n * 0.25::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'foreign' ELSE 'common' END AS tier FROM r")
+@query(
+    f"WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey || ':' || c_mktsegment)) AS r FROM customer), {_SHARES}, "
+    f"g AS (SELECT c_mktsegment AS id, count(*)::BIGINT AS n FROM customer GROUP BY 1), {_DEALT} SELECT c_custkey, c_mktsegment, (SELECT min_by(tier, pos) FROM u WHERE u.id = c_mktsegment AND u.upto >= r) AS tier FROM r"
+)
 def tier_allocation(spark, sf_dir):
-    names = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return corpus.with_tiers(names, {"common": 0.6, "tail": 0.25, "foreign": 0.15}, "c_mktsegment")
+    return corpus.with_tiers(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), corpus.TIER_SHARES, "c_mktsegment")
+
+
+@query(
+    f"WITH {_PLAN}, {_SHARES}, g AS (SELECT family || register AS id, n FROM p), {_DEALT} SELECT family, register, tier, (base + (pos <= over_)::INTEGER)::BIGINT AS cases FROM p JOIN u ON u.id = family || register "
+    "WHERE family NOT IN ('check_status', 'refund') AND base + (pos <= over_)::INTEGER > 0 UNION ALL SELECT family, register, NULL, n::BIGINT FROM p WHERE family IN ('check_status', 'refund')"
+)
+def corpus_counts(spark, sf_dir):
+    """Cases of the generated corpus by family, register and the tier of their person."""
+    tier = F.try_element_at(F.filter("pii", lambda p: p["type"] == "NAME"), F.lit(1))["tier"]
+    return _corpus(spark).groupBy("family", "register", tier.alias("tier")).agg(F.count("*").alias("cases"))
+
+
+_NAMES = sorted({(w, g, k) for k, pool in (("given", SMALL.given), ("surname", SMALL.surnames)) for (g, _), ws in pool.items() for w in ws})
+
+
+def _endings_sql(kind: str, table: str) -> str:
+    """The grammar of names as SQL: (pattern, letters cut, three endings)."""
+    rows = {"given": [("m", "[йь]$", 1, "яяю"), ("m", "[бвгджзклмнпрстфхцчшщ]$", 0, "аау"), ("m", "а$", 1, "ыуе"), ("m", "я$", 1, "июе"), ("f", "а$", 1, "ыуе"), ("f", "я$", 1, "июе")]}
+    surnames = [("m", "([ое]в|ёв|[иы]н)$", 0, ("а", "а", "у")), ("m", "[сц]кий$", 2, ("ого", "ого", "ому")), ("f", "([ое]ва|ёва|[иы]на)$", 1, ("ой", "у", "ой")), ("f", "[сц]кая$", 2, ("ой", "ую", "ой"))]
+    chosen = rows["given"] if kind == "given" else surnames
+    return " ".join(f"WHEN kind = '{kind}' AND gender = '{g}' AND regexp_matches(lower({table}), '{p}') THEN substr({table}, 1, length({table}) - {cut}) || list_element({list(f)!r}, c)" for g, p, cut, f in chosen)
+
+
+@query(
+    "WITH n(word, gender, kind) AS (VALUES " + ", ".join(f"({_quoted(w)}, '{g}', '{k}')" for w, g, k in _NAMES) + "), x AS (SELECT *, unnest([1, 2, 3]) AS c FROM n) "
+    f"SELECT word, gender, kind, list_element(['gen', 'acc', 'dat'], c) AS form, CASE {_endings_sql('given', 'word')} {_endings_sql('surname', 'word')} ELSE word END AS declined FROM x"
+)
+def declined_names(spark, sf_dir):
+    n = spark.createDataFrame(_NAMES, "word string, gender string, kind string")
+    forms = [F.struct(F.lit(c).alias("form"), F.when(F.col("kind") == "given", surface.decline(F.col("word"), F.col("gender"), c, surface.GIVEN_ENDINGS)).otherwise(surface.decline(F.col("word"), F.col("gender"), c, surface.SURNAME_ENDINGS)).alias("declined")) for c in surface.CASES]
+    return n.select("word", "gender", "kind", F.explode(F.array(*forms)).alias("f")).select("word", "gender", "kind", "f.*")
+
+
+_RANKED = [("Иван", "m", "top", ["Ваня", "Ванюшенька", "vanya"]), ("Глеб", "m", "medium", ["Глебка"]), ("Тихомир", "m", "rare", ["Тиша"]), ("Аглая", "f", "rare", []), ("Даша", "f", "popular", ["Дашуня"]), ("Дарья", "f", "top", ["Даша", "Даня"]), ("x1", "m", "top", []), ("Юки", "f", "rare", [])]
+_OTHER = [("Глеб", "m"), ("Милица", "f"), ("Саша", "u"), ("Анна-Мария", "f"), ("Ваня", "m"), ("с маленькой", "f")]
+_FOREIGN = [("Юки", "f"), ("Пьер", "m")]
+
+
+@query(
+    "WITH k(name, gender, bucket, forms) AS (VALUES " + ", ".join(f"({_quoted(n)}, '{g}', '{b}', {f!r}::VARCHAR[])" for n, g, b, f in _RANKED) + "), o(name, gender) AS (VALUES " + ", ".join(f"({_quoted(n)}, '{g}')" for n, g in _OTHER) + "), f(name, gender) AS (VALUES " + ", ".join(f"({_quoted(n)}, '{g}')" for n, g in _FOREIGN) + "), "
+    "every AS (SELECT name, gender, 'foreign' AS tier, 0 AS pr FROM f UNION ALL SELECT name, gender, CASE bucket WHEN 'rare' THEN 'tail' ELSE 'common' END, 1 FROM k "
+    "UNION ALL SELECT name, gender, 'diminutive', 2 FROM (SELECT unnest(forms) AS name, gender FROM k WHERE bucket = 'top') WHERE length(name) BETWEEN 3 AND 5 UNION ALL SELECT name, gender, 'tail', 3 FROM o WHERE gender IN ('m', 'f')), "
+    "clean AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pr, gender, tier) AS r FROM every WHERE regexp_full_match(name, '[А-ЯЁ][а-яё]+(-[А-ЯЁ][а-яё]+)?') OR tier = 'foreign') SELECT name, gender, tier FROM clean WHERE r = 1"
+)
+def given_name_tiers(spark, sf_dir):
+    ranked = spark.createDataFrame(_RANKED, "name string, gender string, bucket string, short_forms array<string>")
+    return pools.given_names(ranked, spark.createDataFrame(_OTHER, "name string, gender string"), spark.createDataFrame(_FOREIGN, "name string, gender string"))
+
+
+_LABELS = ["улица Садовая", "Большой Речной переулок", "1-й проезд", "проспект Мира", "Садовая", "улица 12", "Main улица", "2-я Лесная Улица", "набережная", "шоссе Северное шоссе"]
+_FAMILY = ["Рябов", "Рябова", "Дубровский", "Дубровская", "Кочубей", "Толстой", "Хрущатый", "Стецюк", "Яшина", "Ким"]
+_KINDS_SQL = "['улица','переулок','проспект','шоссе','бульвар','набережная','площадь','проезд','аллея','тупик']"
+
+
+@query(
+    "WITH l AS (SELECT unnest([" + ", ".join(map(_quoted, _LABELS)) + "]) AS label), w AS (SELECT label, string_split(label, ' ') AS ws FROM l), "
+    f"k AS (SELECT label, ws, list_min(list_filter(generate_series(1, len(ws)), lambda i: list_contains({_KINDS_SQL}, lower(ws[i])))) AS hit FROM w), "
+    "r AS (SELECT label, lower(ws[hit]) AS type, array_to_string(list_filter(ws, lambda x, i: i <> hit), ' ') AS name FROM k) "
+    "SELECT label, CASE WHEN good THEN name END AS name, CASE WHEN good THEN type END AS type FROM (SELECT *, type IS NOT NULL AND regexp_full_match(name, '[А-ЯЁа-яё0-9 -]+') AND regexp_matches(name, '[А-ЯЁа-яё]') AS good FROM r)"
+)
+def street_labels(spark, sf_dir):
+    labels = spark.createDataFrame([(x,) for x in _LABELS], "label string")
+    return labels.withColumn("s", pools.split_street(F.col("label"))).select("label", "s.name", "s.type")
+
+
+@query(
+    "SELECT name, CASE WHEN regexp_matches(name, '(ова|ева|ёва|ина|ына|ая)$') THEN 'f' WHEN regexp_matches(name, '(ов|ев|ёв|ин|ын|ой|ый|ий)$') THEN 'm' ELSE 'u' END AS gender, true AS clean FROM (SELECT unnest([" + ", ".join(map(_quoted, _FAMILY)) + "]) AS name)"
+)
+def surname_genders(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in _FAMILY], "name string").select("name", pools.surname_gender(F.col("name")).alias("gender"), pools.is_clean(F.col("name")).alias("clean"))
 
 
 @query("SELECT key, name, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pr, name, rank) AS k FROM (SELECT s_nationkey AS key, s_name AS name, s_suppkey AS rank, 0 AS pr FROM supplier UNION ALL SELECT c_nationkey, c_name, c_custkey, 1 FROM customer)) WHERE k = 1")
 def merged_pools(spark, sf_dir):
     s = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("rank"))
     c = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"), F.col("c_custkey").alias("rank"))
-    return corpus.merge_pools(s, c, key="key")
+    return pools.merge_pools(s, c, key="key")
 
 
 @query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice > 0 ORDER BY p_retailprice DESC, p_name, p_partkey LIMIT 120")
 def largest_of_pool(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    return p.where("p_retailprice > 0").orderBy(F.desc("p_retailprice"), "p_name", "p_partkey").limit(120)
+    return pools.largest(p, "p_retailprice", "p_name", "p_partkey", n=120)
 
 
 _GOLDEN_ADDRESS = [

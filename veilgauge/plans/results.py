@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import platform
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +21,22 @@ POLICY_ORDER = ("copier", "rewriter", "reformat")
 
 
 def corpus_digest(cases: DataFrame) -> DataFrame:
-    """One row (digest): of the cases by id and their user texts; any edit to a case moves it.
+    """One row (digest): of the ids and user texts of the cases, in the order of their ids; any edit to a case moves it.
 
-    Each case is hashed where it is; only the hashes, in order of id, come together.
+    It is one hash over one stream, as other tools compute it too, so a single task reads the sorted texts, and holds none.
     """
     users = F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: m["content"]), "")
-    each = cases.select(F.col("id"), F.sha2(F.concat(F.col("id"), users).cast("binary"), 256).alias("h"))
-    # cells of 256 keep the one gathered row short whatever the corpus
-    cells = each.groupBy(F.substring("h", 1, 2).alias("cell")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("h"))
-    whole = cells.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "h"))), lambda x: x["h"]), "").alias("all"))
-    return whole.select(F.substring(F.sha2(F.col("all").cast("binary"), 256), 1, 16).alias("digest"))
+    name = F.col("id").cast("string")
+    stream = cases.select(name.alias("id"), F.concat(name, users).alias("text")).repartition(1).sortWithinPartitions("id")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = hashlib.sha256()
+        for b in batches:
+            for text in b.column(1).cast(pa.binary()).to_pylist():
+                whole.update(text or b"")
+        yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()[:16]])], ["digest"])
+
+    return stream.mapInArrow(digest, "digest string")
 
 
 def content_digest(texts: Column) -> Column:
@@ -35,7 +44,7 @@ def content_digest(texts: Column) -> Column:
     return F.substring(F.sha1(F.array_join(texts, "\n").cast("binary")), 1, 10)
 
 
-def run_file(items: DataFrame, negatives: DataFrame, cases: DataFrame, manifest: dict) -> DataFrame:
+def run_file(items: DataFrame, negatives: DataFrame, cases: DataFrame, manifest: dict, rescored_by: str | None = None) -> DataFrame:
     """One row in the format of a run file, rates rounded to six places. For runs that fit a file; larger ones stay tables."""
     spark = items.sparkSession
     found = score.with_intervals(score.lines(items, negatives, cases))
@@ -54,7 +63,8 @@ def run_file(items: DataFrame, negatives: DataFrame, cases: DataFrame, manifest:
     obs = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("case_id", F.struct(*schema.CASE_OBS.fieldNames()).alias("o")))), lambda x: x["o"]).alias("observations"))
     meta = {"benchmark_version": VERSION, "run_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "python": platform.python_version(), "adapter_config": {}, "submitted_by": "", "notes": ""} | manifest
     head = spark.createDataFrame([(tuple(meta.get(n) for n in schema.MANIFEST.fieldNames()),)], schema.T.StructType([schema.T.StructField("manifest", schema.MANIFEST)]))
-    return head.join(lines, F.lit(True)).join(run, F.lit(True)).join(obs, F.lit(True)).select("manifest", "lines", "run", "observations")
+    marker = F.struct(F.lit(rescored_by).alias("benchmark_version")) if rescored_by else F.lit(None).cast("struct<benchmark_version: string>")
+    return head.join(lines, F.lit(True)).join(run, F.lit(True)).join(obs, F.lit(True)).select("manifest", "lines", "run", "observations", marker.alias("rescored"))
 
 
 def rejudge(items: DataFrame, gold: DataFrame, policy: str | Column = "copier", pivot: int = 26) -> DataFrame:
@@ -84,32 +94,62 @@ def rejudge(items: DataFrame, gold: DataFrame, policy: str | Column = "copier",
     return both.select(*[F.col("_rt").alias(c) if c == "round_trip" else F.col("_n").alias(c) if c == "normalised" else F.col(c) for c in items.columns])
 
 
+def rejudge_cases(cases: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """cases with consistency by the current judge: of the first two mentions of a person by name, if one of them was altered.
+
+    items: the same runs' items; keys tell runs apart. Where nothing can be judged, the recorded verdict stays; of
+    several persons the last one's counts.
+    """
+    on = [*keys, "case_id"]
+    mention = F.struct(F.length("item_id").alias("n"), "item_id", "altered", "substitute")
+    people = items.where("type = 'NAME' AND family = 'second_mention'").groupBy(*on, "identity").agg(F.sort_array(F.collect_list(mention)).alias("m")).where(F.size("m") > 1)
+    a, b = F.col("m")[0], F.col("m")[1]
+    judged = people.withColumn("again", judge.consistency(a["altered"], b["altered"], a["substitute"], b["substitute"])).where("again IS NOT NULL")
+    last = judged.groupBy(*on).agg(F.max_by("again", F.struct(F.col("m")[1]["n"], F.col("m")[1]["item_id"])).alias("again"))
+    out = cases.join(last, on, "left")
+    return out.select(*[F.coalesce("again", "consistency").alias(c) if c == "consistency" else F.col(c) for c in cases.columns])
+
+
+def rescored(run: DataFrame, cases: DataFrame) -> DataFrame:
+    """A run file's row anew, its verdicts and lines by the current judge, and marked as such. run: one row; cases: the corpus."""
+    meta = run.select("manifest").first()["manifest"].asDict(recursive=True)
+    items = rejudge(src.item_observations(run), src.gold_items(cases), meta.get("policy") or "copier")
+    return run_file(items, src.negative_observations(run), rejudge_cases(src.case_observations(run), items), meta, rescored_by=VERSION)
+
+
 def latest(runs: DataFrame, *keys: str) -> DataFrame:
     """The newest row per keys by run_at; of equals the first by path."""
     w = Window.partitionBy(*keys).orderBy(F.desc("run_at"), "path")
     return runs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def newest_runs(runs: DataFrame) -> DataFrame:
+    """The latest run of each system and agent, its manifest's fields as columns."""
+    policy = F.coalesce("manifest.policy", F.lit("copier")).alias("policy")
+    flat = runs.select("manifest.system", policy, "manifest.run_at", "manifest.corpus_digest", "manifest.notes", F.try_element_at("manifest.adapter_config", F.lit("caveat")).alias("caveat"), "path", "observations", F.col("run.errors").alias("errors"))
+    return latest(flat, "system", "policy")
+
+
 def board(runs: DataFrame, digest: str, gold: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, pairs, stale) of run files: the latest run of each system and agent, re-judged and scored.
 
     lines: (policy, system, line, hits, total, rate, low, high, certifies). pairs: McNemar between copier runs on leak and
     end_to_end. stale: runs over another corpus.
     """
-    flat = runs.select("manifest.system", F.coalesce("manifest.policy", F.lit("copier")).alias("policy"), "manifest.run_at", "manifest.corpus_digest", F.col("_metadata.file_path").alias("path") if "_metadata" in runs.columns else F.lit("").alias("path"), "observations", F.col("run.errors").alias("errors"))
-    newest = latest(flat, "system", "policy")
-    current = newest.where(F.col("corpus_digest") == digest)
+    current = newest_runs(runs).where(F.col("corpus_digest") == digest)
     keys = ("policy", "system")
     items, negs, cases = src.item_observations(current, *keys), src.negative_observations(current, *keys), src.case_observations(current, *keys)
     if gold is not None:
         items = rejudge(items, gold, F.col("policy"))
+        cases = rejudge_cases(cases, items, *keys)
     lines = score.with_intervals(score.lines(items, negs, cases, keys))
     copier = items.where("policy = 'copier'")
     outcome = copier.select("system", "case_id", "item_id", F.explode(F.array(F.struct(F.lit("leak").alias("line"), F.col("altered").alias("ok")), F.struct(F.lit("end_to_end").alias("line"), F.col("round_trip").alias("ok")))).alias("o")).select("system", "case_id", "item_id", "o.line", "o.ok").where("ok IS NOT NULL")
     a, b = outcome.alias("a"), outcome.alias("b")
     same = (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.system") < F.col("b.system"))
     pairs = a.join(b, same).groupBy(F.col("a.system").alias("left"), F.col("b.system").alias("right"), F.col("a.line").alias("line")).agg(F.count_if(F.col("a.ok") & ~F.col("b.ok")).alias("b"), F.count_if(F.col("b.ok") & ~F.col("a.ok")).alias("c"), F.count("*").alias("shared"))
-    return lines, score.with_p(pairs), newest.where(~F.col("corpus_digest").eqNullSafe(digest)).select("system", "policy", "corpus_digest", "run_at")
+    stale = newest_runs(runs).where(~F.col("corpus_digest").eqNullSafe(digest))
+    return lines, score.with_p(pairs), stale.select("system", "policy", "corpus_digest", "run_at")
 
 
 def cell(line: str = "") -> Column:
@@ -119,18 +159,44 @@ def cell(line: str = "") -> Column:
 
 
 COLUMNS = ("leak", "coverage", "round_trip", "round_trip_repaired", "end_to_end", "overmask", "consistency")
+AGENTS = {
+    "copier": "The agent passes on what it was shown, letter by letter.",
+    "rewriter": "The agent writes each value in its own notation; it is owed the original in that notation.",
+    "reformat": "The agent writes phones in another format.",
+}
+
+
+def _table(head: list[str], rows: list[list[str]]) -> list[str]:
+    return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join(r) + " |" for r in rows], ""]
 
 
-def markdown(lines: DataFrame) -> str:
-    """A table per agent; the driver gets one row per system and agent."""
+def markdown(lines: DataFrame, errors: dict[tuple[str, str], int] | None = None) -> str:
+    """A table per agent; the driver gets one row per system and agent. errors: by (policy, system), for a last column."""
     wide = lines.withColumn("cell", cell()).groupBy("policy", "system").pivot("line", list(COLUMNS)).agg(F.first("cell"))
     order = F.array_position(F.array(*[F.lit(p) for p in POLICY_ORDER]), F.col("policy"))
     rows = wide.orderBy(F.when(order == 0, 99).otherwise(order), "system").collect()
     out: list[str] = []
     for policy in dict.fromkeys(r["policy"] for r in rows):
-        out += [f"## {policy}", "", "| system | " + " | ".join(COLUMNS) + " |", "|" + "---|" * (len(COLUMNS) + 1)]
-        out += ["| " + " | ".join([r["system"], *[r[c] or "—" for c in COLUMNS]]) + " |" for r in rows if r["policy"] == policy]
-        out.append("")
+        own = [[r["system"], *[r[c] or "—" for c in COLUMNS], *([str(errors.get((policy, r["system"]), 0))] if errors is not None else [])] for r in rows if r["policy"] == policy]
+        note = [AGENTS[policy], ""] if errors is not None and policy in AGENTS else []
+        out += [f"## {policy}", "", *note, *_table(["system", *COLUMNS, *(["errors"] if errors is not None else [])], own)]
+    return "\n".join(out)
+
+
+def leaderboard(runs: DataFrame, cases: DataFrame) -> str:
+    """The whole board as text: tables, pairs, caveats of the runs, and runs over another corpus. Few rows reach the driver."""
+    digest, total = corpus_digest(cases).first()["digest"], cases.count()
+    lines, pairs, stale = board(runs, digest, src.gold_items(cases))
+    newest = newest_runs(runs).select("policy", "system", "corpus_digest", "caveat", "notes", "errors").orderBy("system", "policy").collect()
+    current = [r for r in newest if r["corpus_digest"] == digest]
+    out = ["# Leaderboard", "", f"Corpus `{digest}`, {total} cases. In brackets: exact 95 % intervals. Columns do not add up to one score. All lines are judged anew by the present judge.", ""]
+    out.append(markdown(lines, {(r["policy"], r["system"]): r["errors"] or 0 for r in current}))
+    if found := pairs.where("shared > 0").orderBy("left", "right", "line").collect():
+        out += ["## Pairs (exact McNemar test)", "", *_table(["pair", "line", "b", "c", "p"], [[f"{r['left']} / {r['right']}", r["line"], str(r["b"]), str(r["c"]), f"{r['p']:.3f}"] for r in found])]
+    if told := [f"- **{r['system']}** ({r['policy']}): {r['caveat'] or r['notes'].strip()}" for r in current if r["caveat"] or (r["notes"] or "").strip()]:
+        out += ["## Caveats", "", *told, ""]
+    if old := stale.orderBy("system", "policy").collect():
+        out += ["## Runs over another corpus", "", *[f"- {r['system']}: corpus `{r['corpus_digest']}`, run at {r['run_at']}" for r in old], ""]
     return "\n".join(out)
 
 

@@ -30,7 +30,8 @@ PII = _struct(
 NEGATIVE = _struct(("value", S), ("kind", S), ("turn", I), ("start", I), ("end", I))
 CALL = _struct(("name", S), ("pii_params", T.ArrayType(S)), ("plain_params", T.MapType(S, S)))
 SOURCE = _struct(("generator", S), ("version", S), ("seed", L))
-TOOL = _struct(("type", S), ("function", _struct(("name", S))))
+_PARAMETERS = _struct(("type", S), ("properties", T.MapType(S, _struct(("type", S), ("description", S)))), ("required", T.ArrayType(S)))
+TOOL = _struct(("type", S), ("function", _struct(("name", S), ("description", S), ("parameters", _PARAMETERS))))
 CASE = _struct(
     ("id", S), ("version", S), ("family", S), ("register", S), ("subcase", S), ("messages", T.ArrayType(MESSAGE)),
     ("tools", T.ArrayType(TOOL)), ("expected_call", CALL), ("pii", T.ArrayType(PII)), ("negatives", T.ArrayType(NEGATIVE)),
@@ -56,4 +57,4 @@ MANIFEST = _struct(
 )
 LINE = _struct(("hits", L), ("total", L), ("rate", D), ("ci95", T.ArrayType(D)), ("certifies", D))
 RUN = _struct(("cases", L), ("errors", L), ("calls_made", L), ("calls_parsed", L), ("rewrite_flagged", L), ("unattributable", L), ("normalised", L))
-RUN_FILE = _struct(("manifest", MANIFEST), ("lines", T.MapType(S, LINE)), ("run", RUN), ("observations", T.ArrayType(CASE_OBS)))
+RUN_FILE = _struct(("manifest", MANIFEST), ("lines", T.MapType(S, LINE)), ("run", RUN), ("observations", T.ArrayType(CASE_OBS)), ("rescored", _struct(("benchmark_version", S))))

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession | None = None) -> None:
@@ -39,3 +39,16 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilgauge-"))
         top = spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/veilgauge-{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to the shared folder and read again: computed once, however often it is used."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its scan makes fewer tasks than there are (few files, large row groups); else as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

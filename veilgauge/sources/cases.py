@@ -38,9 +38,10 @@ def write_run(run: DataFrame, path: str) -> None:
 
 
 def read_runs(spark: SparkSession, path: str, archived: bool = False) -> DataFrame:
-    """Run files under path; those in an ``_archive`` folder only if asked for."""
+    """Run files under path, with the path of each; those in an ``_archive`` folder only if asked for."""
     found = spark.read.schema(RUN_FILE).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(path)
-    return found if archived else found.where(~F.col("_metadata.file_path").contains("/_archive/"))
+    found = found.withColumn("path", F.col("_metadata.file_path"))
+    return found if archived else found.where(~F.col("path").contains("/_archive/"))
 
 
 def _observed(runs: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
