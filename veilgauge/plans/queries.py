@@ -643,14 +643,29 @@ def run_rewriter(spark, sf_dir):
     return score.with_intervals(score.lines(*evaluate.evaluate(_corpus(spark), "placeholder_regex", "rewriter")))
 
 
-@query()
+_CONVERSED = ",\n".join(
+    [
+        "ids AS (SELECT row_number() OVER (ORDER BY conv_id, turn, text) AS doc_id, * FROM conversations WHERE text IS NOT NULL)",
+        sql_claims("c", detect.FOREIGN + detect.RUSSIAN, "ids"),
+        "told AS (SELECT conv_id, doc_id, rank, start, type, value FROM c JOIN ids USING (doc_id))",
+        "first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, value ORDER BY doc_id, rank, start) AS r FROM told) WHERE r = 1)",
+        "known AS (SELECT conv_id, doc_id, value, '<' || type || '_' || row_number() OVER (PARTITION BY conv_id, type ORDER BY doc_id, rank, start) || '>' AS token FROM first)",
+        "own AS (SELECT t.doc_id, t.value, k.token, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.rank, t.start) AS k FROM told t JOIN known k USING (conv_id, value))",
+        "folded AS (SELECT doc_id, 0::BIGINT AS k, text AS t FROM ids UNION ALL SELECT f.doc_id, o.k, replace(f.t, o.value, o.token) FROM folded f JOIN own o ON o.doc_id = f.doc_id AND o.k = f.k + 1)",
+        "last AS (SELECT doc_id, arg_max(t, k) AS masked FROM folded GROUP BY doc_id)",
+    ]
+)
+
+
+@query(f"WITH RECURSIVE {_CONVERSED} SELECT conv_id, turn, md5(masked) AS masked_md5, (SELECT count(*) FROM known k WHERE k.conv_id = i.conv_id AND k.doc_id <= i.doc_id) AS tokens FROM ids i JOIN last USING (doc_id)")
 def stream_vault(spark, sf_dir):
-    """Documents as a stream of messages, conversations being sources: placeholders stay the same across batches."""
+    """Conversations as a stream of messages: each value has one placeholder in all of its conversation."""
     from ..streaming import vault
 
-    docs = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{sf_dir}/documents.parquet*")
-    msgs = docs.select(F.substring("source", F.lit(4), F.lit(9)).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), "text")
-    return _drained(vault.mask_stream(msgs), "vault", "append")
+    kind = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    told = spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*")
+    found = _drained(vault.mask_stream(told.select("conv_id", F.col("turn").cast("long").alias("turn"), "text"), detect.FOREIGN + detect.RUSSIAN), "vault", "append")
+    return found.select("conv_id", F.col("turn").cast(kind["turn"].dataType).alias("turn"), F.md5(F.col("masked").cast("binary")).alias("masked_md5"), F.col("tokens").cast("long").alias("tokens"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,28 +17,27 @@ STATE = "counts string, tokens string"
 
 
 def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    import json
-
+    """A conversation's new messages by turn, however they were cut into frames: they are few, its vault is the state."""
     counts, tokens = (json.loads(x) for x in state.get) if state.exists else ({}, {})
-    rows = []
-    for frame in frames:
-        for r in frame.sort_values("turn").itertuples():
-            text = r.text
-            for kind, value in zip(r.kinds, r.values, strict=True):
-                if value not in tokens:
-                    counts[kind] = counts.get(kind, 0) + 1
-                    tokens[value] = f"<{kind}_{counts[kind]}>"
-                text = text.replace(value, tokens[value])
-            rows.append((key[0], r.turn, text, len(tokens)))
+    batch = pd.concat(list(frames)).sort_values(["turn", "text"], kind="stable")
+    masked, known = [], []
+    for text, kinds, values in zip(batch["text"], batch["kinds"], batch["values"], strict=True):
+        for kind, value in zip(kinds, values, strict=True):
+            if value not in tokens:
+                counts[kind] = counts.get(kind, 0) + 1
+                tokens[value] = f"<{kind}_{counts[kind]}>"
+            text = text.replace(value, tokens[value])
+        masked.append(text)
+        known.append(len(tokens))
     state.update((json.dumps(counts), json.dumps(tokens)))
-    yield pd.DataFrame(rows, columns=["conv_id", "turn", "masked", "tokens"])
+    yield pd.DataFrame({"conv_id": key[0], "turn": batch["turn"].to_numpy(), "masked": masked, "tokens": known})
 
 
 def mask_stream(messages: DataFrame, patterns: tuple = detect.RUSSIAN) -> DataFrame:
     """messages: a stream (conv_id long, turn long, text string). Claims are made inside the JVM; only the vault, one state
     per conversation, is kept by the stateful operator. A state is as large as its conversation's distinct values."""
     ship_package()
-    found = messages.withColumn("c", detect.claims(F.col("text"), patterns))
+    found = messages.where("text IS NOT NULL").withColumn("c", detect.claims(F.col("text"), patterns))
     flat = found.select("conv_id", "turn", "text", F.transform("c", lambda x: x["type"]).alias("kinds"), F.transform("c", lambda x: x["value"]).alias("values"))
     return flat.groupBy("conv_id").applyInPandasWithState(_advance, OUT, STATE, "append", "NoTimeout")
 
