@@ -12,6 +12,7 @@ the language where it is most frequent, so that passages in another language do
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +23,13 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, small_batches, tidy
 
-GRAM, SLOT_BITS, HASHES = 4, 19, 3
+GRAM, HASHES = 4, 3
+#: The filter has 2**SLOT_BITS slots, or as many more as keep the fullest language's slice half empty, up to MAX_SLOT_BITS
+#: (128 MB for each WORD languages); beyond, the correction bears the rest.
+SLOT_BITS, MAX_SLOT_BITS = 19, 24
+#: Languages of one mask; more languages have more masks.
+WORD = 63
 MIN_COUNT, MIN_SHARE = 2, 0.1
-MAX_LANGUAGES = 63
 UNKNOWN = "und"
 #: Fixed odd multipliers of the slot hashes.
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -51,18 +56,24 @@ def slots(codes: np.ndarray, hashes: int = HASHES, slot_bits: int = SLOT_BITS) -
 
 @dataclass
 class Model:
+    """table: a mask of languages for each slot, a row for each WORD languages; false: the share of false positives by language."""
+
     languages: list[str]
     table: np.ndarray
     false: np.ndarray
+    slot_bits: int = SLOT_BITS
 
     def counts(self, codes: np.ndarray) -> np.ndarray:
         """Corrected counts by language."""
         n = len(codes)
-        mask = None
-        for s in slots(codes):
-            own = self.table[s]
-            mask = own if mask is None else mask & own
-        found = np.array([int(((mask >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(len(self.languages))], float)
+        at = slots(codes, slot_bits=self.slot_bits)
+        found = np.zeros(len(self.languages))
+        for w, own in enumerate(self.table):
+            mask = own[at[0]]
+            for s in at[1:]:
+                mask = mask & own[s]
+            for i in range(w * WORD, min((w + 1) * WORD, len(found))):
+                found[i] = ((mask >> np.uint64(i % WORD)) & np.uint64(1)).sum()
         return np.clip((found - n * self.false) / (1 - np.minimum(self.false, 0.999)), 0, n)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -82,7 +93,8 @@ def held_out(row_id, modulus: int, remainder: int):
 def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the rows of df with a text and a language; equal counts at every size, whatever the partitions.
 
-    The driver gets a row per language and per used slot, 2**SLOT_BITS at most.
+    The driver gets a row per language and per used slot, 2**MAX_SLOT_BITS at most for each WORD languages. Repeated rows
+    count as often as they stand; an empty table gives a model without languages.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -110,27 +122,30 @@ def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> M
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     seen = materialize(rows.mapInArrow(tidy(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
-    totals = seen.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    totals = seen.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").collect()  # languages, few by nature
     languages = [r["lang"] for r in totals]
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
+    bits, words = SLOT_BITS, max(1, -(-len(languages) // WORD))
+    table = np.zeros((words, 1 << bits), np.uint64)
     if languages:
         number = spark.createDataFrame([(r["lang"], i, r["total"]) for i, r in enumerate(totals)], "lang string, i int, total long")
         rate = F.col("n") / F.col("total")
         best = F.max(rate).over(Window.partitionBy("code"))
         inside = seen.join(F.broadcast(number), "lang").withColumns({"rate": rate, "best": best}).where((F.col("n") >= MIN_COUNT) & (F.col("rate") >= MIN_SHARE * F.col("best")))
+        inside = materialize(inside.select("i", "code"), "entries")
+        most = inside.groupBy("i").count().agg(F.max("count")).first()[0] or 1
+        bits = min(MAX_SLOT_BITS, max(SLOT_BITS, math.ceil(math.log2(2 * HASHES * most))))
+        table = np.zeros((words, 1 << bits), np.uint64)
 
         @F.arrow_udf("array<long>")
         def _slots(code: pa.Array) -> pa.Array:
-            at = np.stack(slots(code.to_numpy(zero_copy_only=False).astype(np.uint32)), axis=1).astype(np.int64)
+            at = np.stack(slots(code.to_numpy(zero_copy_only=False).astype(np.uint32), slot_bits=bits), axis=1).astype(np.int64)
             return pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32)), pa.array(at.ravel()))
 
-        used = inside.select("i", F.explode(_slots("code")).alias("slot")).groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-        got = used.toArrow()
-        table[got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.uint64)
-    fill = np.array([float(((table >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
-    return Model(languages, table, fill**HASHES)
+        used = inside.select("i", F.explode(_slots("code")).alias("slot")).groupBy((F.col("i") / WORD).cast("int").alias("word"), "slot")
+        got = used.agg(F.bit_or(F.expr(f"shiftleft(1L, i % {WORD})")).alias("mask")).toArrow()
+        table[got["word"].to_numpy(), got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.uint64)
+    fill = np.array([float(((table[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean()) for i in range(len(languages))])
+    return Model(languages, table, fill**HASHES, bits)
 
 
 def predict(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -140,7 +155,7 @@ def predict(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     text is null or has no letter, or nothing was learned. score: the language's part of all corrected counts.
     """
     small_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(model)  # 2**SLOT_BITS masks
+    held = df.sparkSession.sparkContext.broadcast(model)  # 2**MAX_SLOT_BITS masks at most for each WORD languages
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def _predict(texts: pa.Array) -> pa.Array:
