@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from ._common import materialize, small_enough
 
 MAX_REPEATS, BLOCK_TOKENS = 2.0, 1 << 20
-#: Sources are few by nature; their table goes to the driver, which refuses more.
+#: A table of more sources than these stays distributed; fewer go to the driver.
 MAX_SOURCES = 100_000
+#: Rows of a source's pass that a cell of the key should hold at most.
+CELL_ROWS = 1 << 16
 #: Fixed: a token here is a run of characters other than ASCII white space.
 WORD, SPACE = r"[^\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 
@@ -108,15 +110,65 @@ def _narrow(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 
 def _budget_table(rows: DataFrame, **how) -> DataFrame:
-    found = [tuple(r) for r in rows.groupBy("source").agg(F.sum("tokens")).limit(MAX_SOURCES + 1).collect()]
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    return budgets(rows.sparkSession, sorted(found, key=lambda r: (r[0] is not None, r[0] or "")), **how)
+    sums = materialize(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
+    if not small_enough(sums, MAX_SOURCES):
+        return materialize(_many_budgets(sums, **how), "budgets")
+    return budgets(rows.sparkSession, sorted((tuple(r) for r in sums.collect()), key=lambda r: (r[0] is not None, r[0] or "")), **how)
+
+
+def _many_budgets(sums: DataFrame, *, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """What budgets() gives, where sources are too many for the driver: a pass over them measures many exponents at once.
+
+    Sums of floating-point numbers depend on their order, so that a budget may differ from that of budgets() by a token.
+    """
+    real = sums.where("tokens > 0")
+    total, top, low = real.agg(F.sum("tokens"), F.max("tokens"), F.min("tokens")).first()
+    share = F.col("tokens") / F.lit(total)
+
+    def low_enough(exponents: list[float]) -> list[bool]:
+        if target_entropy is None:  # the most passes are those over the smallest source
+            return [(top / low) ** (1 - a) <= max_repeats for a in exponents]
+        scale = [F.sum(F.pow(share, F.lit(a))) for a in exponents]
+        logs = [F.sum(F.pow(share, F.lit(a)) * F.log(share)) for a in exponents]
+        found = list(real.agg(*scale, *logs).first())
+        return [math.log(s) - a * t / s <= target_entropy for a, s, t in zip(exponents, found, found[len(exponents) :], strict=False)]
+
+    if max_repeats is not None and target_entropy is None and max_repeats < 1:
+        raise ValueError("max_repeats must be 1 or more")
+    lo, hi = 0.0, 1.0
+    if total is not None and low_enough([0.0])[0]:
+        hi = 0.0
+    while total is not None and hi - lo > 1e-15 * hi:
+        grid = [lo + (hi - lo) * i / 16 for i in range(1, 16)]
+        fits = low_enough(grid)
+        at = fits.index(True) if True in fits else len(grid)
+        new = (grid[at - 1] if at else lo, grid[at] if at < len(grid) else hi)
+        if new == (lo, hi):
+            break
+        lo, hi = new
+    scale = real.agg(F.sum(F.pow(share, F.lit(hi)))).first()[0]
+    weight = F.pow(share, F.lit(hi)) / F.lit(scale)
+    whole = budget if budget is not None else real.agg(F.max(F.col("tokens") / weight)).first()[0]
+    own = F.floor(weight * F.lit(whole) + 0.5).cast("long")
+    own = F.greatest(own, "tokens") if budget is None else own
+    some = F.col("tokens") > 0
+    out = sums.withColumns({"weight": F.when(some, weight).otherwise(0.0), "budget": F.when(some, own).otherwise(0)})
+    quota = F.greatest(F.lit(1), F.floor(F.col("weight") * block_tokens + 0.5).cast("long"))
+    return out.select("source", "tokens", "weight", F.col("budget").cast("long").alias("budget"), F.when(some, F.expr("budget div tokens")).otherwise(1).cast("long").alias("passes"), F.when(some, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("rest"), quota.cast("long").alias("quota"))
+
+
+def _digits(rows: DataFrame) -> int:
+    """Hex digits of the key that make cells small, even if one source has all rows."""
+    return max(2, math.ceil(math.log(max(1, rows.count() / CELL_ROWS), 16)))
+
+
+def _side(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if small_enough(table, MAX_SOURCES) else table
 
 
 def _placed(rows: DataFrame, table: DataFrame, digits: int, last_only: bool = False) -> DataFrame:
     """rows once for each pass that they may be in (or for a part pass only), with the tokens ahead of them in it (ahead)."""
-    t = F.broadcast(table.where("rest > 0") if last_only else table).alias("t")
+    t = _side(table.where("rest > 0") if last_only else table).alias("t")
     both = rows.alias("r").join(t, F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", *[f"t.{c}" for c in ("passes", "rest", "quota")], F.col("t.tokens").alias("source_tokens"))
     last = F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1)
     numbers = F.array("passes") if last_only else F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))
@@ -131,35 +183,35 @@ def _placed(rows: DataFrame, table: DataFrame, digits: int, last_only: bool = Fa
     return own.join(F.broadcast(starts) if small_enough(starts) else starts, at).withColumn("ahead", F.col("base") + F.col("own")).drop("own", "base", "cell", *at[:2])
 
 
-def mixture(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digits: int = 2, **how) -> DataFrame:
+def mixture(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digits: int | None = None, **how) -> DataFrame:
     """The mixed stream: doc_id, source, pass, tokens, block, slot; one row for each use of a document.
 
     how: as for budgets(). A null source is a source. Null and empty texts have no tokens and come with
     the pass. Rows with one id share their place in the permutation; among them fewer tokens come
     first. An empty table gives no rows. slot: 0, 1, ... in each block, in shuffled order.
-    digits: hex digits of the key that make a cell; it changes no result.
+    digits: hex digits of the key that make a cell, by default as many as the rows need; it changes no result.
     """
     rows = _narrow(df, id_col, text_col, source_col)
-    placed = _placed(rows, _budget_table(rows, **how), digits)
+    placed = _placed(rows, _budget_table(rows, **how), digits or _digits(rows))
     used = placed.where((F.col("pass") < F.col("passes")) | (F.col("ahead") < F.col("rest")))
     used = used.withColumn("block", F.expr("(pass * source_tokens + ahead) div quota"))
     order = Window.partitionBy("block").orderBy(F.md5(F.concat_ws(":", "key", "block").cast("binary")), "tokens", "th")
     return used.select("doc_id", "source", "pass", "tokens", "block", (F.row_number().over(order) - 1).cast("long").alias("slot"))
 
 
-def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digits: int = 2, **how) -> DataFrame:
+def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digits: int | None = None, **how) -> DataFrame:
     """df's rows, each as often as the mixture uses it, with df's columns.
 
     The texts are not exchanged: a source's part of a pass is the rows whose key is at most that of the
-    last document in it (rows with one id go together).
+    last document in it (rows with one id go together). Null sources, ids and texts, and an empty table, are as for mixture().
     """
     rows = _narrow(df, id_col, text_col, source_col)
     table = _budget_table(rows, **how)
-    placed = _placed(rows, table, digits, last_only=True)
+    placed = _placed(rows, table, digits or _digits(rows), last_only=True)
     ends = placed.where(F.col("ahead") < F.col("rest")).groupBy("source").agg(F.max("key").alias("end"))
     uses = table.alias("t").join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select(F.col("t.source").alias("__vg_source"), F.col("passes").alias("__vg_passes"), F.col("end").alias("__vg_end"))
     uses = materialize(uses, "uses")
-    joined = df.withColumn("__vg_s", F.col(f"`{source_col}`").cast("string")).join(F.broadcast(uses), F.col("__vg_s").eqNullSafe(F.col("__vg_source")))
+    joined = df.withColumn("__vg_s", F.col(f"`{source_col}`").cast("string")).join(_side(uses), F.col("__vg_s").eqNullSafe(F.col("__vg_source")))
     more = F.when(_key(F.col(f"`{id_col}`").cast("long"), F.col("__vg_passes")) <= F.col("__vg_end"), 1).otherwise(0)
     times = (F.col("__vg_passes") + more).cast("int")
     return joined.withColumn("__vg_n", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in df.columns])
