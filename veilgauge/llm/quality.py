@@ -136,7 +136,11 @@ def without_lines(text: bytes, gone: set[int]) -> bytes:
 
 
 def clean(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", n_chars_col: str | None = "n_chars", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """df's kept rows, with df's columns; template lines are gone from the texts, and n_chars_col follows them."""
+    """df's kept rows, with df's columns; template lines are gone from the texts, and n_chars_col follows them.
+
+    Null and empty texts have no words and are rejected. A null host is a host of its own. Repeated rows are kept or
+    rejected together. An empty table stays empty.
+    """
     marks, lines = verdicts(df, id_col=id_col, text_col=text_col, host_col=host_col, min_docs=min_docs, host_share=host_share, keep_share=keep_share)
     small_batches(df.sparkSession)
     # a verdict depends on host and text alone, so rows are matched by them, and rejected texts are few

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, langid, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, warc
+from ..session import spread
 from ._common import pick
 
 
@@ -15,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, **wanted: str) -> DataFrame:
+    """The documents, over all cores."""
+    return spread(pick(_table(spark, sf_dir, "documents"), **wanted))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     out = sharding.histogram_sort(docs, shards=40)
@@ -22,24 +28,24 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    docs = _documents(spark, sf_dir, doc_id="doc_id", text="text")
     return simhash.near_duplicates(docs, words=3, distance=2)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", source="source")
+    docs = _documents(spark, sf_dir, doc_id="doc_id", text="text", source="source")
     out, _ = quality.verdicts(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    docs = _documents(spark, sf_dir, doc_id="doc_id", text="text")
     out = line_dedup.line_dedup(docs, report=True)
     return out.select("doc_id", "removed_runs", "removed_chars", F.length("text").cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    docs = _documents(spark, sf_dir, doc_id="doc_id", text="text")
     return packing.pack(docs, window=2048)
 
 
@@ -55,7 +61,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    docs = _documents(spark, sf_dir, doc_id="doc_id", text="text", lang="lang").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -65,7 +71,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").withColumn("held_out", langid.held_out(F.col("doc_id"), 3, 1))
+    docs = _documents(spark, sf_dir, doc_id="doc_id", text="text").withColumn("held_out", langid.held_out(F.col("doc_id"), 3, 1))
     labels = pick(_table(spark, sf_dir, "labels"), doc_id="doc_id", toxic="toxic")
     model = toxicity.train(toxicity.labelled_rows(docs.where(~F.col("held_out")), labels), docs)
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")

@@ -500,7 +500,10 @@ def train(labelled: DataFrame, texts: DataFrame, *, text_col: str = "text", labe
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """docs with their label (toxic). An id with several labels has the largest; ids and labels that are null do not count."""
+    """docs with their label (toxic). An id with several labels has the largest; ids and labels that are null do not count.
+
+    Null and empty texts, and repeated rows, come as they are. Empty tables give no rows. A column named toxic is replaced.
+    """
     found = labels.select(F.col(f"`{id_col}`").cast("long").alias("__vg_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("__vg_id IS NOT NULL AND toxic IS NOT NULL")
     found = materialize(found.groupBy("__vg_id").agg(F.max("toxic").alias("toxic")), "labels")
     return docs.drop("toxic").join(F.broadcast(found) if small_enough(found) else found, F.col(f"`{id_col}`").cast("long") == F.col("__vg_id")).drop("__vg_id")
