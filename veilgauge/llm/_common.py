@@ -7,7 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path, ship_package
@@ -75,3 +75,29 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df, a materialised table, may be broadcast."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: Bits of a key bitmap: 8 MB at most, whatever the number of keys.
+KEY_BITS = 1 << 26
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(key, F.lit(KEY_BITS))
+
+
+def key_bitmap(keys: DataFrame, key: Column) -> DataFrame:
+    """The bits of some 64-bit keys, in rows of 4 kB; never more than KEY_BITS bits."""
+    bits = keys.select(F.bitmap_bucket_number(_bit(key)).alias("__vg_bucket"), F.bitmap_bit_position(_bit(key)).alias("p"))
+    return bits.groupBy("__vg_bucket").agg(F.bitmap_construct_agg("p").alias("__vg_bits"))
+
+
+def maybe_among(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) -> DataFrame:
+    """df with a column flag that is false only where the key is surely not among the bitmap's.
+
+    Rows that a join would not touch need not be exchanged for it. Past some hundred million keys the bitmap is full
+    and tells nothing; it never changes a result.
+    """
+    rows = df.withColumns({"__vg_bucket": F.bitmap_bucket_number(_bit(key)), "__vg_p": F.bitmap_bit_position(_bit(key))})
+    both = rows.join(F.broadcast(bitmap), "__vg_bucket", "left")
+    set_ = F.expr("shiftright(cast(conv(hex(substring(__vg_bits, cast(__vg_p div 8 as int) + 1, 1)), 16, 10) as int), cast(__vg_p % 8 as int)) & 1") == 1
+    return both.withColumn(flag, F.coalesce(set_, F.lit(False))).drop("__vg_bucket", "__vg_p", "__vg_bits")

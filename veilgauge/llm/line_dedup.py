@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches, tidy
+from ._common import key_bitmap, materialize, maybe_among, small_batches, tidy
 
 GRAM_WORDS, MIN_WORDS = 10, 25
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -321,7 +321,10 @@ def repeated_stretches(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     told = compared.select("id", "th", "context", now.alias("state")).where("state IS NOT NULL")
     pick = lambda s: F.collect_set(F.when(F.col("state") == s, F.col("context")))
     lists = told.groupBy("id", "th").agg(pick(COVERED).alias("covered"), pick(OPEN).alias("open")).select(F.col("id").alias("l_id"), F.col("th").alias("l_th"), "covered", "open")
-    own = keyed.join(lists, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))).select("id", "th", "text", "covered", "open")
+    lists = materialize(lists, "contexts")
+    # only texts that have a list are exchanged for it
+    asked = maybe_among(keyed, F.xxhash64("id", "th"), key_bitmap(lists, F.xxhash64("l_id", "l_th")), "asked").where("asked")
+    own = asked.join(lists, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))).select("id", "th", "text", "covered", "open")
     rows = materialize(own.mapInArrow(tidy(_run_rows(gram_words, min_words)), "id long, th long, pos int, span int, run long"), "runs")
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th", "pos")).over(Window.partitionBy("run"))
     runs = rows.where("span = 0").withColumn("f", first)
@@ -372,9 +375,13 @@ def line_dedup(
     if not 1 <= gram_words <= min_words < _WORDS:
         raise ValueError("a gram must fit into a run")
     found = repeated_stretches(df, id_col=id_col, text_col=text_col, gram_words=gram_words, min_words=min_words)
-    found = found.select(F.col("id").alias("__vg_id"), F.col("th").alias("__vg_th"), F.col("found").alias("__vg_found"))
+    found = materialize(found.select(F.col("id").alias("__vg_id"), F.col("th").alias("__vg_th"), F.col("found").alias("__vg_found")), "stretches")
     rows = df.withColumns({"__vg_i": F.col(f"`{id_col}`").cast("long"), "__vg_t": F.xxhash64(F.col(f"`{text_col}`"))})
-    rows = rows.join(found, F.col("__vg_i").eqNullSafe(F.col("__vg_id")) & (F.col("__vg_t") == F.col("__vg_th")), "left")
+    rows = maybe_among(rows, F.xxhash64("__vg_i", "__vg_t"), key_bitmap(found, F.xxhash64("__vg_id", "__vg_th")), "__vg_asked")
+    asked = rows.where("__vg_asked").join(found, F.col("__vg_i").eqNullSafe(F.col("__vg_id")) & (F.col("__vg_t") == F.col("__vg_th")), "left")
+    rest = rows.where("NOT __vg_asked").withColumn("__vg_found", F.lit(None).cast(found.schema["__vg_found"].dataType))
+    # texts that nothing is cut from are not exchanged
+    rows = asked.drop("__vg_id", "__vg_th").union(rest)
 
     @F.arrow_udf("struct<text: string, runs: int>")
     def _cut(texts: pa.Array, founds: pa.Array) -> pa.Array:
