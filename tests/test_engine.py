@@ -410,3 +410,27 @@ def test_corpus_is_reproducible(spark, cases):
     assert other.count() > 0
     strata = {r.stratum: r for r in gates.strata(cases).collect()}
     assert not strata["family:refund"].ok and strata["register:chat"].ok
+
+
+def test_command_line(spark, cases, tmp_path, capsys):
+    from veilgauge.__main__ import main
+
+    at = str(tmp_path / "cases")
+    src.write_cases(cases, at)
+    assert main(["check", "--cases", at], spark) == 1 and "BAD family:refund" in capsys.readouterr().out  # too few for a stratum
+    assert main(["run", "--cases", at, "--limit", "6", "--out", str(tmp_path / "runs" / "a")], spark) == 0 and "leak:" in capsys.readouterr().out
+    assert main(["board", "--cases", at, "--results", str(tmp_path / "runs")], spark) == 0
+    assert "Runs over another corpus" in capsys.readouterr().out
+
+
+def test_one_slip_is_one_edit():
+    for i in range(300):
+        d = surface.Draws(str(i))
+        word = surface.slipped("караоке", d, "w")
+        swapped = sum(a != b for a, b in zip("караоке", word, strict=False)) <= 2 and sorted(word) == sorted("караоке")
+        twin = len(word) == 7 and sum(a != b for a, b in zip("караоке", word, strict=True)) == 1
+        assert swapped or twin or len(word) == 6
+        out = surface.slipped_digits("8 907 1002003", d, "n")
+        assert (len(out.text), out.shaped) in {(13, False), (12, True)}
+    assert surface.slipped("Ли", surface.Draws("1"), "w") == "Ли"
+    assert surface.declined("Любовь", "f", "acc", surface.GIVEN_ENDINGS) == "Любовь" and surface.declined("Дубровская", "f", "acc", surface.SURNAME_ENDINGS) == "Дубровскую"
