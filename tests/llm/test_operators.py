@@ -40,6 +40,24 @@ def test_shards_are_even_gapless_and_whole(docs, shards):
         assert abs(sum(r["size"] for r in v) - total / shards) <= largest + 0.01 * total
 
 
+def test_shards_are_as_even_as_the_tolerance(docs):
+    some = docs.where("length(text) < 3000")
+    out = sharding.histogram_sort(some, shards=4, tolerance=0.01).groupBy("shard").agg(F.sum("size").alias("n"), F.max("size").alias("m")).collect()
+    mean = sum(r.n for r in out) / 4
+    assert len(out) == 4 and all(abs(r.n - mean) <= 0.02 * mean + 2 * max(x.m for x in out) for r in out)
+
+
+def test_crowded_cells_are_numbered_in_order(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 4)
+    df = spark.createDataFrame([(i, f"text {i % 50 if i % 3 else 0}") for i in range(900)] + [(7, "text 0")] * 3, "doc_id long, text string")
+    out = sharding.histogram_sort(df, shards=3)
+    h, g = sharding._keys(F.col("text"), F.col("doc_id"))
+    rows = sorted((r.shard, r.slot, r.h, r.g) for r in out.select("shard", "slot", h.alias("h"), g.alias("g")).collect())
+    assert len(rows) == 903 and [k[2:] for k in rows] == sorted(k[2:] for k in rows)
+    for shard in range(3):
+        assert [k[1] for k in rows if k[0] == shard] == list(range(sum(k[0] == shard for k in rows)))
+
+
 def test_heavy_copies_are_split_and_light_ones_stay(spark):
     rng = random.Random(3)
     data = [(i, "the same text again") for i in range(600)] + [(1000 + i, f"text {i} " + "y" * rng.randint(0, 30)) for i in range(900)]
@@ -336,6 +354,15 @@ def test_mixture_meets_budgets_and_mix_agrees(docs):
     assert all(plain[k] == uses[k] for k in distinct if k[0] is not None)
 
 
+@pytest.mark.parametrize("how", [{"max_repeats": 3.0}, {"target_entropy": 1.2}])
+def test_many_sources_are_mixed_as_few_are(docs, monkeypatch, how):
+    few = mixing.mixture(docs, block_tokens=500, **how).collect()
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    many = mixing.mixture(docs, block_tokens=500, digits=3, **how).collect()
+    assert sorted(map(repr, few)) == sorted(map(repr, many))
+    assert collections.Counter(r.doc_id for r in mixing.mix(docs, **how).collect()) == collections.Counter(r.doc_id for r in mixing.mixture(docs, **how).collect())
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.mixture(empty).count() == 0 and mixing.mix(empty).count() == 0
 
@@ -540,6 +567,16 @@ def test_languages_are_told_apart(spark, empty):
     assert {r.lang_pred for r in langid.predict(asked, nothing).collect()} == {"und"}
 
 
+def test_more_languages_than_a_mask_holds(spark):
+    rng = random.Random(6)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(70)}
+    data = [(lang, " ".join(rng.choice(ws) for _ in range(12))) for lang, ws in words.items() for _ in range(4)]
+    df = spark.createDataFrame(data, "lang string, text string")
+    model = langid.train(df)
+    assert model.table.shape == (2, 1 << langid.SLOT_BITS) and len(model.languages) == 70
+    assert langid.predict(df, model).where("lang_pred <> lang").count() == 0
+
+
 def test_filter_holds_all_grams_and_few_others():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 32, 3000, dtype=np.uint32)
@@ -547,7 +584,7 @@ def test_filter_holds_all_grams_and_few_others():
     for s in langid.slots(codes):
         table[s] |= np.uint64(4)
     fill = float((table > 0).mean())
-    m = langid.Model(["a", "b", "c"], table, np.array([0.0, 0.0, fill**3]))
+    m = langid.Model(["a", "b", "c"], table[None], np.array([0.0, 0.0, fill**3]))
     assert m.counts(codes)[2] == len(codes) and m.counts(rng.integers(0, 1 << 32, 20000, dtype=np.uint32))[2] < 20
 
 

@@ -12,15 +12,18 @@ Main path: DataFrame operations only.
 
 from __future__ import annotations
 
+import math
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, small_enough
 
 #: Bits of the key that one round resolves.
 FAN_BITS = 10
+#: Rows that a cell of the numbering should hold, or a millionth of all rows if that is more.
+CELL_ROWS = 256
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
@@ -127,14 +130,28 @@ def histogram_sort(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     size = (F.octet_length(text) + F.lit(overhead)).cast("long")
     keys = materialize(df.select(h.alias("h"), g.alias("g"), size.alias("size")), "sharding")
     splitters = find_splitters(keys, shards, tolerance)
-    # Within a shard, rows are numbered by cells of the key's leading bits, whose counts are few: 2**FAN_BITS + shards at most.
-    cell = F.shiftright("h", 64 - FAN_BITS)
-    counts = keys.groupBy(shard_of(F.col("h"), F.col("g"), splitters).alias("__vg_s"), cell.alias("__vg_c")).count()
-    ahead = Window.partitionBy("__vg_s").orderBy("__vg_c").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__vg_s", "__vg_c", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__vg_start"))
+    # Within a shard rows are numbered by cells of the key: its leading bits, as many as keep the cells small; a cell that a
+    # text with very many copies crowds is parted further, by the second part of the key.
+    n = keys.count()
+    cell_rows = max(CELL_ROWS, n >> 20)
+    bits = max(1, math.ceil(math.log2(max(2, n / cell_rows))))
+
+    def cells(table: DataFrame, h: Column, g: Column) -> DataFrame:
+        near = table.withColumns({"__vg_s": shard_of(h, g, splitters), "__vg_c": F.shiftright(h, 64 - bits)})
+        near = near.join(crowded, ["__vg_s", "__vg_c"], "left")
+        return near.withColumns({"__vg_ch": F.when(F.col("__vg_full"), h).otherwise(0), "__vg_cg": F.when(F.col("__vg_full"), F.shiftright(g, 64 - max(bits, FAN_BITS))).otherwise(0)}).drop("__vg_full")
+
+    sizes = keys.groupBy(shard_of(F.col("h"), F.col("g"), splitters).alias("__vg_s"), F.shiftright("h", 64 - bits).alias("__vg_c")).count()
+    crowded = materialize(sizes.where(F.col("count") > 4 * cell_rows).select("__vg_s", "__vg_c", F.lit(True).alias("__vg_full")), "crowded")
+    crowded = F.broadcast(crowded) if small_enough(crowded) else crowded
+    cell = ["__vg_s", "__vg_c", "__vg_ch", "__vg_cg"]
+    counts = cells(keys, F.col("h"), F.col("g")).groupBy(*cell).count()
+    ahead = Window.partitionBy("__vg_s").orderBy(*cell[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select(*cell, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__vg_start")), "cells")
+    starts = F.broadcast(starts) if small_enough(starts) else starts
     rows = df.drop("size", "text_crc32", "shard", "slot").withColumns({"__vg_h": h, "__vg_g": g, "size": size, "text_crc32": F.crc32(text.cast("binary"))})
-    rows = rows.withColumns({"__vg_s": shard_of(F.col("__vg_h"), F.col("__vg_g"), splitters), "__vg_c": F.shiftright("__vg_h", 64 - FAN_BITS)})
-    rank = F.row_number().over(Window.partitionBy("__vg_s", "__vg_c").orderBy("__vg_h", "__vg_g")) - 1
-    out = rows.withColumn("__vg_rank", rank).join(F.broadcast(starts), ["__vg_s", "__vg_c"])
+    rows = cells(rows, F.col("__vg_h"), F.col("__vg_g"))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("__vg_h", "__vg_g")) - 1
+    out = rows.withColumn("__vg_rank", rank).join(starts, cell)
     out = out.withColumns({"shard": F.col("__vg_s"), "slot": (F.col("__vg_start") + F.col("__vg_rank")).cast("long")})
-    return out.drop("__vg_s", "__vg_c", "__vg_h", "__vg_g", "__vg_rank", "__vg_start")
+    return out.drop(*cell, "__vg_h", "__vg_g", "__vg_rank", "__vg_start")
