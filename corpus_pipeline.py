@@ -33,6 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays: five-word shingles, a similarity of 0.8.
 
+    SimHash fingerprints meet in the buckets of their blocks; close ones are verified by the shingles themselves.
     Texts without words, null and empty ones too, are one group; an earlier stage may leave some. Null ids come last. Of
     rows equal in id and text one stays. No documents give none.
     """

@@ -173,6 +173,63 @@ def test_links_beside_the_least_of_a_band(spark):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_candidates_are_close_simhashes_that_share_a_block(spark):
+    rng = random.Random(21)
+    sets = []
+    for size in (4, 5, 12, 40, 200):
+        for _ in range(12):
+            h = [rng.getrandbits(64) for _ in range(size)]
+            sets += [h, [*h, *(rng.getrandbits(64) for _ in range(size // 4))], [*h[: size // 2], *(rng.getrandbits(64) for _ in range(size // 2))]]
+    rows, majority = 10**5, lambda h, w, i: 2 * sum(int(x) >> i & 1 for x in similar._mixed(np.array(h, np.uint64), w + 1)[:, w]) > len(h)
+    bits, few, many = similar.blocks(rows)
+    prints = [similar.signature(np.array(h, np.uint64), similar.words_of(rows)[len(h) <= similar.SHORT]) for h in sets]
+    for h, v in list(zip(sets, prints, strict=True))[::17]:
+        assert [int(v[w]) >> i & 1 for w in (0, len(v) - 1) for i in range(64)] == [majority(h, w, i) for w in (0, len(v) - 1) for i in range(64)]
+    data = [(k, len(h), v.view(np.int64).tolist()) for k, (h, v) in enumerate(zip(sets, prints, strict=True))]
+    got = collections.defaultdict(set)
+    for r in similar.buckets(spark.createDataFrame(data, "node long, n long, fp array<long>"), rows).collect():
+        got[r.key].add(r.node)
+
+    def number(k):
+        return int.from_bytes(prints[k].tobytes(), "little") >> 64 * similar.CHECKED
+
+    want = set()
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = min(few if len(sets[k]) > similar.SHORT else many for k in (a, b))
+            block = any((number(a) ^ number(b)) >> bits * j & (1 << bits) - 1 == 0 for j in range(shared))
+            if block and sum(bin(int(prints[a][i]) ^ int(prints[b][i])).count("1") for i in range(similar.CHECKED)) <= similar.MOST:
+                want.add((b, a))
+    assert want and want <= {(a, b) for g in got.values() for a in g for b in g if a < b}
+    linked = roots(range(len(sets)), lambda a, b: (a, b) in want)
+    assert all(len({linked[k] for k in g}) == 1 for g in got.values())
+
+
+def test_blocks_find_nearly_all_pairs_of_four_fifths_at_any_number_of_rows():
+    rng = np.random.default_rng(8)
+    for rows in (100, 10**5, 10**7):
+        bits, few, many = similar.blocks(rows)
+        lengths = similar.words_of(rows)
+        assert rows <= 2**bits * similar.BUCKET
+        for both, one, other in ((4, 0, 1), (12, 0, 3), (12, 1, 2), (80, 10, 10)):
+            short, missed = both + other <= similar.SHORT, 0
+            for _ in range(60):
+                h = rng.integers(0, 2**63, both + one + other, dtype=np.uint64)
+                v = np.stack([similar.signature(x, lengths[short]) for x in (h[: both + one], np.concatenate((h[:both], h[both + one :])))])
+                keys = similar.block_keys(v, bits, many if short else few)
+                missed += not (keys[0] == keys[1]).any() or np.bitwise_count(v[0, : similar.CHECKED] ^ v[1, : similar.CHECKED]).sum() > similar.MOST
+            assert missed <= 1
+
+
+def test_crowded_buckets_have_the_same_components():
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 2**63, (900, 3), dtype=np.uint64)
+    for i in range(100, 700):  # chains: each near some earlier one
+        v[i] = v[rng.integers(90, i)] ^ (np.uint64(1) << rng.integers(0, 63, 3, dtype=np.uint64))
+    plain = similar.least_in_component(v, 4)
+    assert len(set(plain.tolist())) < 600 and (similar._least_by_search(v, 4) == plain).all()
+
+
 def test_representatives_keep_columns_and_odd_rows(docs, empty):
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns

@@ -152,7 +152,7 @@ def keep_representatives(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     """df without near duplicates: of each component the row with the smallest id stays, with all its columns.
 
     distance: links are fingerprints of 64 bits within it; by default links are texts of a similarity
-    of 0.8, by MinHash bands and exact similarity (see similar.py). Texts without words, null and empty
+    of 0.8, by blocks of longer fingerprints, their distance and exact similarity (see similar.py). Texts without words, null and empty
     ones too, are one class, of which one row stays. Of rows equal in id and text one stays. Rows are
     ordered by id (nulls last), then by a hash of the text. An empty table stays empty.
     """
