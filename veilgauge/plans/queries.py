@@ -298,8 +298,11 @@ def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored runs of four systems over the customers as cases, a NAME and a PHONE each; what came back depends on the key."""
-    c = _phones(spark, sf_dir)
+    """Stored runs of four systems over the customers as cases, a NAME and a PHONE each; what came back depends on the key.
+
+    A run comes in pieces of a case each: as one row it would have to fit a task's memory.
+    """
+    c = spread(_phones(spark, sf_dir))
     k = F.col("c_custkey")
     systems = F.array(*[F.struct(F.lit(n).alias("system"), F.lit(i).alias("s")) for i, n in enumerate("ABCD", 2)])
     c = c.select("*", F.explode(systems).alias("y")).select("*", "y.system", "y.s")
@@ -313,11 +316,11 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.when(k % 3 == 0, F.upper("c_name")).when(k % 3 == 1, F.concat(F.lit("  "), F.col("c_name"))).otherwise(F.lit("<NAME_9>"))
     items = F.array(item(1, "NAME", "person1", altered, F.col("c_name"), F.lit(None), F.lit(None)), item(2, "NAME", "person1", (k + F.col("s")) % 2 == 0, again, F.lit(None), F.lit(None)), item(3, "PHONE", "person1", altered, F.lit("<PHONE_1>"), phone, (k + F.col("s")) % 3 == 0))
     case = {"case_id": k.cast("string"), "family": F.lit("second_mention"), "register": F.lit("clean"), "call_made": F.lit(True), "arguments_parse": F.lit(True), "rewrite_ratio": F.lit(0.0), "hard": F.lit(False), "consistency": k % 5 == 0, "items": items}
-    each = c.select("system", F.struct(*[case.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.CASE_OBS.fields]).alias("o"))
+    each = c.select("system", F.array(F.struct(*[case.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.CASE_OBS.fields])).alias("observations"))
     head = {"system": F.col("system"), "policy": F.lit("copier"), "run_at": F.lit("2026-01-01"), "corpus_digest": F.when(F.col("system") == "D", "old").otherwise("now")}
     manifest = F.struct(*[head.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.MANIFEST.fields])
     run = F.struct(*[F.lit(0).cast(f.dataType).alias(f.name) for f in schema.RUN.fields])
-    return each.groupBy("system").agg(F.collect_list("o").alias("observations")).select(manifest.alias("manifest"), run.alias("run"), "observations", F.lit("").alias("path"))
+    return each.select(manifest.alias("manifest"), run.alias("run"), "observations", F.lit("").alias("path"))
 
 
 def _gold_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
