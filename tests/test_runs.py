@@ -38,6 +38,6 @@ def test_the_board_of_pieces_is_that_of_files(spark, part):
     assert got and got == rows(results.board(files(runs).unionByName(files(old)), "now", gold)[part])
 
 
-@pytest.mark.parametrize("name", ["board_lines", "board_pairs"])
+@pytest.mark.parametrize("name", ["board_lines", "board_pairs", "rejudge_consistency"])
 def test_no_run_is_gathered(spark, name):
     assert "collect_list(o#" not in plan(queries.QUERIES[name](spark, SF))

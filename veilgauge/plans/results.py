@@ -149,8 +149,8 @@ def board(runs: DataFrame, digest: str, gold: DataFrame | None = None) -> tuple[
     keys = ("policy", "system")
     items, negs, cases = src.item_observations(current, *keys), src.negative_observations(current, *keys), src.case_observations(current, *keys)
     if gold is not None:
+        cases = rejudge_cases(cases, items, *keys)  # needs what is recorded of items, not their verdicts
         items = rejudge(items, gold, F.col("policy"))
-        cases = rejudge_cases(cases, items, *keys)
     lines = score.with_intervals(score.lines(items, negs, cases, keys))
     copier = items.where("policy = 'copier'")
     outcome = copier.select("system", "case_id", "item_id", F.explode(F.array(F.struct(F.lit("leak").alias("line"), F.col("altered").alias("ok")), F.struct(F.lit("end_to_end").alias("line"), F.col("round_trip").alias("ok")))).alias("o")).select("system", "case_id", "item_id", "o.line", "o.ok").where("ok IS NOT NULL")
