@@ -38,6 +38,11 @@ def test_the_board_of_pieces_is_that_of_files(spark, part):
     assert got and got == rows(results.board(files(runs).unionByName(files(old)), "now", gold)[part])
 
 
-@pytest.mark.parametrize("name", ["board_lines", "board_pairs", "rejudge_consistency"])
+@pytest.mark.parametrize("name", ["board_lines", "board_pairs", "rejudge_consistency", "rejudge_items"])
 def test_no_run_is_gathered(spark, name):
     assert "collect_list(o#" not in plan(queries.QUERIES[name](spark, SF))
+
+
+def test_gold_is_not_broadcast(spark):
+    found = plan(queries.QUERIES["rejudge_items"](spark, SF))
+    assert "SortMergeJoin" in found and "BroadcastHashJoin" not in found

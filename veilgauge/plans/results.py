@@ -76,7 +76,8 @@ def rejudge(items: DataFrame, gold: DataFrame, policy: str | Column = "copier",
     that names it. What a step needs again is a column first, else its expression would be repeated at each use.
     """
     g = gold.select("case_id", "item_id", F.col("type").alias("_type"), F.col("canonical").alias("_canonical"), F.col("parts").alias("_parts"))
-    both = items.join(g, ["case_id", "item_id"], "left")
+    # the gold grows with the cases, and a compressed table looks small enough to be broadcast long after it is not
+    both = items.join(g.hint("merge"), ["case_id", "item_id"], "left")
     agent = F.lit(policy) if isinstance(policy, str) else policy
     owed = F.col("_canonical")
     if not isinstance(policy, str) or policy != "copier":
