@@ -6,6 +6,9 @@ pattern and from left to right; a match that overlaps a claimed one is dropped.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,12 @@ def matches(text: Column, kind: str, pattern: str, rank: int) -> Column:
     return _ranked(found(text, kind, pattern), rank)
 
 
+def holds(text: Column, patterns: tuple) -> Column:
+    """Whether any pattern matches, thus whether there are claims at all; a look that makes no spans."""
+    looks = [text.rlike(_java(p)) if p not in GUARDS else F.when(F.contains(text, F.lit(GUARDS[p])) if len(GUARDS[p]) == 1 else text.rlike(GUARDS[p]), text.rlike(_java(p))).otherwise(False) for _, p in patterns]
+    return reduce(or_, looks)
+
+
 def _ranked(c: Column, rank: int) -> Column:
     return F.transform(c, lambda m: F.struct(m["start"], m["end"], m["type"], m["value"], F.lit(rank).alias("rank")))
 

@@ -52,6 +52,19 @@ def lines(items: DataFrame, negatives: DataFrame | None = None, cases: DataFrame
     return out
 
 
+def lines_in_one(items: DataFrame) -> DataFrame:
+    """(line, hits, total) as lines() gives, of items with look-alikes among them (negative): overmask counts those, the rest the others.
+
+    One pass over what makes the items; as two tables it would be made twice.
+    """
+    c = F.col
+    own = ~c("negative")
+    masked = [F.when(own, c(n)).alias(n) for n in ("altered", "covered", "typed_as", "tool_param", "round_trip", "normalised")]
+    counts = item_counts() | {"overmask": (_count(c("negative") & ~c("touched")), _count(c("negative")))}
+    counts |= {n: (counts[n][0], _count(own)) for n in ("leak", "coverage")}
+    return _lines(items.select("type", "negative", c("altered").alias("touched"), *masked), counts, [])
+
+
 def with_intervals(found: DataFrame) -> DataFrame:
     """Adds rate, low, high and certifies (for a line without a failure, else null)."""
     out = found.withColumn("_i", stats.interval_column(F.col("hits"), F.col("total")))

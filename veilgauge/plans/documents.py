@@ -29,8 +29,11 @@ def masker_spans(docs: DataFrame, patterns: tuple) -> DataFrame:
 
 
 def _gold_rows(docs: DataFrame, **detectors: tuple) -> DataFrame:
-    """A row per gold span s, with the spans of each detector that meet it, from left to right. In one pass over the texts."""
-    both = detect.with_claims(docs, "text", __vg_gold=GOLD, **detectors)
+    """A row per gold span s, with the spans of each detector that meet it, from left to right. In one pass over the texts.
+
+    Texts without a gold span give no row, so that detectors run only on those with one.
+    """
+    both = detect.with_claims(docs.where(detect.holds(F.col("text"), GOLD)), "text", __vg_gold=GOLD, **detectors)
     each = both.withColumns({k: detect.spans(F.col(k)) for k in detectors}).select("doc_id", "lang", "source", *detectors, F.explode(detect.spans(F.col("__vg_gold"))).alias("s"))
     return each.withColumns({k: F.filter(k, lambda x: (x["start"] < F.col("s.end")) & (F.col("s.start") < x["end"])) for k in detectors})
 

@@ -189,15 +189,13 @@ def _obs(spark, sf_dir, patterns=detect.RUSSIAN):
 
 @query(f"WITH {_OBS}, pos AS (SELECT * FROM obs WHERE NOT negative) {_sql_lines()} UNION ALL SELECT 'overmask', count(*) FILTER (NOT altered), count(*) FROM obs WHERE negative")
 def score_lines(spark, sf_dir):
-    o = _obs(spark, sf_dir)
-    return score.lines(o.where("NOT negative"), o.where("negative").select(F.col("altered").alias("touched")))
+    return score.lines_in_one(_obs(spark, sf_dir))
 
 
 @query(f"WITH {_ITEMS}, pos AS (SELECT *, false AS altered, false AS covered, NULL::VARCHAR AS typed_as FROM items WHERE NOT negative) {_sql_lines()} UNION ALL SELECT 'overmask', count(*), count(*) FROM items WHERE negative")
 def score_lines_identity(spark, sf_dir):
     """The identity masker leaks nothing, delivers everything, touches nothing."""
-    o = _obs(spark, sf_dir, (("NOTHING", r"\x00never"),))
-    return score.lines(o.where("NOT negative"), o.where("negative").select(F.col("altered").alias("touched")))
+    return score.lines_in_one(_obs(spark, sf_dir, (("NOTHING", r"\x00never"),)))
 
 
 @query(f"WITH {_OBS}, pos AS (SELECT 'lang' AS axis, lang AS key, * FROM obs WHERE NOT negative UNION ALL SELECT 'source', source, * FROM obs WHERE NOT negative) {_sql_lines('axis, key')}")
